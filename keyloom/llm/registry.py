@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import token_counts
+from . import packing, token_counts
 
 _QUERIES = {
+    "op2_best_fit_packing": packing.query,
     "op10_token_counts": token_counts.query,
 }
 _SQL: dict[str, str] = {}

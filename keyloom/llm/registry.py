@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts
+from . import line_dedup, packing, sharding, token_counts
 
 _QUERIES = {
     "op2_best_fit_packing": packing.query,
+    "op6_sharding": sharding.query,
+    "op7_line_dedup": line_dedup.query,
     "op10_token_counts": token_counts.query,
 }
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str] = {
+    "op7_line_dedup": line_dedup.SQL,
+}
 
 
 def queries():

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, sharding, token_counts
+from . import line_dedup, packing, quality, sharding, token_counts
 
 _QUERIES = {
     "op2_best_fit_packing": packing.query,
+    "op3_quality_rules": quality.query,
     "op6_sharding": sharding.query,
     "op7_line_dedup": line_dedup.query,
     "op10_token_counts": token_counts.query,

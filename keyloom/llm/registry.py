@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, quality, sharding, token_counts
+from . import decontaminate, language, line_dedup, packing, quality, sharding, token_counts
 
 _QUERIES = {
     "op2_best_fit_packing": packing.query,
     "op3_quality_rules": quality.query,
     "op6_sharding": sharding.query,
     "op7_line_dedup": line_dedup.query,
+    "op8_language_id": language.query,
+    "op9_decontamination": decontaminate.query,
     "op10_token_counts": token_counts.query,
 }
 _SQL: dict[str, str] = {

@@ -58,20 +58,37 @@ def blocks(texts: Sequence[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def words(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of the first word of each text and the end)."""
+def _edges(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix sums, inverse powers, start and end of each word, first byte of each text)."""
     data = np.frombuffer(b"\n".join(held) + b"\n", np.uint8)
-    sizes = np.array([len(b) + 1 for b in held], np.int64)
-    begin = np.concatenate(([0], np.cumsum(sizes)))
+    begin = np.concatenate(([0], np.cumsum(np.array([len(b) + 1 for b in held], np.int64))))
     up, down = powers(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_VALUE[data] * up[: len(data)], out=sums[1:])
     edge = np.diff(_IS_WORD[data].view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return sums, down, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), begin
+
+
+def words(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, index of the first word of each text and the end)."""
+    sums, down, start, end, begin = _edges(held)
     return mix((sums[end] - sums[start]) * down[start]), np.searchsorted(start, begin)
 
 
+def words_and_prefixes(held: list[bytes], lengths: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word and of its prefixes of so many bytes, the text of each)."""
+    sums, down, start, end, begin = _edges(held)
+    text = np.searchsorted(begin, start, "right") - 1
+    hashes, owners = [mix((sums[end] - sums[start]) * down[start])], [text]
+    for n in lengths:
+        longer = end - start > n
+        at = start[longer]
+        hashes.append(mix((sums[at + n] - sums[at]) * down[at] + np.uint64(n)))
+        owners.append(text[longer])
+    return np.concatenate(hashes), np.concatenate(owners)
+
+
 def shingles(word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each shingle, index of the first shingle of each text and the end)."""
     n = np.diff(at)

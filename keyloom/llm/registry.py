@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, line_dedup, packing, quality, sharding, token_counts
+from . import decontaminate, language, line_dedup, packing, quality, sharding, token_counts, toxicity
 
 _QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_best_fit_packing": packing.query,
     "op3_quality_rules": quality.query,
     "op6_sharding": sharding.query,

@@ -13,17 +13,21 @@ from pyspark.sql import functions as F
 from keyloom.llm import decontaminate, language, line_dedup, near_dedup, packing
 from keyloom.llm.common import release, scratch_paths, shared_dir, table
 
-#: Scratch tables of the stage before; its result has been written when the next begins.
-_before: list[str] = []
+#: Scratch tables before the current stage began, and those of the stage before, whose
+#: result has been written when the next one begins.
+_there: set[str] = set()
+_own: list[str] = []
 
 
 def _begin(spark: SparkSession) -> None:
-    release(spark, [p for p in _before if p in scratch_paths()])
-    _before[:] = []
+    release(spark, [p for p in _own if p in scratch_paths()])
+    _own.clear()
+    _there.clear()
+    _there.update(scratch_paths())
 
 
 def _end() -> None:
-    _before[:] = scratch_paths()
+    _own.extend(p for p in scratch_paths() if p not in _there)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["timeseries"]
+FAMILIES = ["timeseries", "zsets"]
 
 
 def load() -> None:

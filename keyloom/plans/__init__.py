@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["timeseries", "zsets"]
+FAMILIES = ["timeseries", "zsets", "sets", "hashes"]
 
 
 def load() -> None:

@@ -18,6 +18,11 @@ def millis(column: str = "ts"):
     return F.unix_millis(F.col(column).cast("timestamp"))
 
 
+def rows(names, *values):
+    """An array of structs for ``inline``."""
+    return F.array(*(F.struct(*(v.alias(n) for n, v in zip(names, row))) for row in values))
+
+
 def zset(spark: SparkSession, d: str) -> DataFrame:
     return relation(table(spark, d, "orders"), "zset", key="o_orderpriority", member=F.col("o_orderkey").cast("string"), score="o_totalprice")
 
@@ -55,13 +60,15 @@ WRITES = "w AS (SELECT 'cust:' || (s_suppkey * 37 % 2000) AS key, s_name AS valu
 def hashes(spark: SparkSession, d: str) -> DataFrame:
     """A customer as a hash; the balance expires."""
     c = table(spark, d, "customer")
-    each = F.explode(F.array(
-        F.struct(F.lit("name").alias("field"), F.col("c_name").alias("value"), F.lit(None).cast("long").alias("expires_at")),
-        F.struct(F.lit("nation"), F.col("c_nationkey").cast("string"), F.lit(None).cast("long")),
-        F.struct(F.lit("balance"), F.col("c_acctbal").cast("string"), F.col("c_custkey") * 1000),
-        F.struct(F.lit("segment"), F.col("c_mktsegment"), F.lit(None).cast("long")),
-    )).alias("x")
-    return c.select(F.concat(F.lit("cust:"), F.col("c_custkey").cast("string")).alias("key"), each).select("key", "x.*")
+    never = F.lit(None).cast("long")
+    each = rows(
+        ("field", "value", "expires_at"),
+        (F.lit("name"), F.col("c_name"), never),
+        (F.lit("nation"), F.col("c_nationkey").cast("string"), never),
+        (F.lit("balance"), F.col("c_acctbal").cast("string"), F.col("c_custkey") * 1000),
+        (F.lit("segment"), F.col("c_mktsegment"), never),
+    )
+    return c.select(F.concat(F.lit("cust:"), F.col("c_custkey").cast("string")).alias("key"), F.inline(each))
 
 
 HASHES = "h AS (SELECT 'cust:' || c_custkey AS key, u.field, u.value, u.expires_at FROM (SELECT c_custkey, unnest([{'field':'name','value':c_name,'expires_at':NULL::BIGINT},{'field':'nation','value':CAST(c_nationkey AS VARCHAR),'expires_at':NULL},{'field':'balance','value':'','expires_at':c_custkey*1000},{'field':'segment','value':c_mktsegment,'expires_at':NULL}]) AS u FROM customer)), hl AS (SELECT * FROM h WHERE expires_at IS NULL OR expires_at > 500000)"

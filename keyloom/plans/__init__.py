@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["timeseries", "zsets", "sets", "hashes"]
+FAMILIES = ["timeseries", "zsets", "sets", "hashes", "keyspace"]
 
 
 def load() -> None:

@@ -39,6 +39,9 @@ COORDINATES = BANDS * ROWS
 #: Darts that fill all coordinates of 19 texts in 20.
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 3))
 
+#: Ids of texts to compare are broadcast up to this number, and joined by shuffle beyond.
+BROADCAST_IDS = 1_000_000
+
 _COPY, _CELL, _DART = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)  # odd multipliers (fixed values)
 _POISSON = np.cumsum([np.exp(-1) / np.prod(np.arange(1, i + 1, dtype=float)) for i in range(16)])
 _UNIT = 2.0**-53
@@ -150,14 +153,16 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id) for every row of ``docs``."""
     signed = materialize(docs.select(F.col(key).alias("k"), _signed(F.col(text)).alias("x")).select("k", "x.*"), "signed")
-    nodes = signed.groupBy("fa", "fb").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("copies"))
+    nodes = materialize(signed.groupBy("fa", "fb").agg(F.min("k").alias("k")), "nodes")
     heads = signed.join(nodes.select("fa", "fb", F.col("k").alias("head")), ["fa", "fb"]).where(F.col("k") == F.col("head"))
     places = heads.select("k", F.explode("bands").alias("band")).distinct()
     order = F.struct(F.xxhash64("k", F.lit(5)).alias("h"), F.col("k"))
     stars = places.groupBy("band").agg(F.min("k").alias("c"), F.max("k").alias("most"), F.min(order).alias("o")).where(F.col("c") < F.col("most")).select("band", F.array_distinct(F.array("c", "o.k")).alias("centres"))
     tried = places.join(stars, "band").select("k", F.explode("centres").alias("c")).where(F.col("k") != F.col("c"))
     pairs = materialize(tried.select(F.greatest("k", "c").alias("u"), F.least("k", "c").alias("v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")), "pairs")
-    wanted = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "w")
+    wanted = materialize(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "w"), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     once = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(wanted, F.col("k") == F.col("w")).select("k", _shingled("t").alias("s"))
     sets = materialize(once.groupBy("k").agg(F.min("s").alias("s")), "sets")
     best = pairs.groupBy("u").agg(F.max(F.struct("n", F.negative("v").alias("v"))).alias("b")).select("u", F.negative("b.v").alias("v"))

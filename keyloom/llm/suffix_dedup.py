@@ -36,7 +36,7 @@ from .common import materialize, table
 from .hashing import mix
 
 LENGTH = 200
-GROUP_RUNS = 512
+GROUP_RUNS = 2048
 #: Windows that are sorted at once.
 SORT_WINDOWS = 400_000
 
@@ -140,9 +140,10 @@ class Suffixes:
         return out
 
 
-def repeated_windows(contexts: list[bytes], gram: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Suffixes]:
+def repeated_windows(contexts: list[bytes], gram: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Suffixes]:
     """(context, window in it, whether another context has an equal one at the same
-    distance from the same anchor) for each window, and the suffixes."""
+    distance from the same anchor, whether it is the first of its kind) for each window,
+    and the suffixes."""
     sizes = np.array([len(c) for c in contexts], np.int64)
     begin = np.concatenate(([0], np.cumsum(sizes)))
     windows = sizes - length + 1
@@ -158,7 +159,9 @@ def repeated_windows(contexts: list[bytes], gram: np.ndarray, left: np.ndarray,
     near = near[suffixes.equal_bytes(a[near], b[near])]
     hit = np.zeros(len(of), bool)
     hit[a[near]] = hit[b[near]] = True
-    return of, nth, hit, suffixes
+    first = np.ones(len(of), bool)
+    first[b[near]] = False
+    return of, nth, hit, first, suffixes
 
 
 _MARKS = "gram long, span long, lo int, hi int, h1 long, h2 long"
@@ -170,14 +173,14 @@ def _sorted(length: int):
 
     def marks(rows: pd.DataFrame) -> pd.DataFrame:
         part = rows.gram.to_numpy() ^ mix(rows.salt.to_numpy().astype(np.uint64) + np.uint64(1)).view(np.int64)
-        of, nth, hit, suffixes = repeated_windows(rows.bytes.tolist(), part, rows.left.to_numpy().astype(np.int64), length)
+        of, nth, hit, first, suffixes = repeated_windows(rows.bytes.tolist(), part, rows.left.to_numpy().astype(np.int64), length)
         gram, span, hot = (rows[c].to_numpy() for c in ("gram", "span", "hot"))
         edge = np.diff(hit.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
         switch = np.flatnonzero(of[1:] != of[:-1]) + 1 if len(of) else np.empty(0, int)
         start = np.union1d(np.flatnonzero(edge == 1), switch[hit[switch]])
         stop = np.union1d(np.flatnonzero(edge == -1) - 1, switch[hit[switch - 1]] - 1)
         out = pd.DataFrame({"gram": gram[of[start]], "span": span[of[start]], "lo": nth[start], "hi": nth[stop]})
-        each = np.flatnonzero(hot[of])
+        each = np.flatnonzero(hot[of] & first)  # one of each kind of window
         x = suffixes.start[each]
         h1 = mix(between(suffixes.sums, x, x + length))
         other = prefix_sums(suffixes.data ^ np.uint8(0x5A))
@@ -230,7 +233,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, group_runs: int = GRO
     """(k, mark, ranges): bytes to remove of each document (k, t) that has any, as longs
     ``first << 32 | end``; ``mark`` tells texts of one k apart."""
     runs = _runs(docs, length)
-    twice = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("gram")
+    twice = materialize(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("gram"), "grams")
     found = materialize(runs.join(twice, "gram"), "runs")
     kinds = materialize(found.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "place")).alias("one")), "spans")
     mixed = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > 1)

@@ -140,7 +140,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return v.select(F.lit("all").alias("key"), F.col("vec_id").cast("string").alias("element"), F.col("embedding").alias("vec"), F.to_json(F.struct("label", F.col("vec_id").alias("id"))).alias("attrs"))
 
 
-VECTORS = "v AS (SELECT CAST(vec_id AS VARCHAR) AS element, embedding AS vec, label, vec_id AS id FROM embeddings)"
+VECTORS = "v AS (SELECT CAST(vec_id AS VARCHAR) AS element, embedding, label, vec_id AS id FROM embeddings)"
 
 
 def bits(spark: SparkSession, d: str) -> DataFrame:

@@ -42,7 +42,7 @@ def bloom_has(state: DataFrame, asked: DataFrame, error: float = 0.01, capacity:
 
 def bloom_dump(state: DataFrame) -> DataFrame:
     """(key, chunk, bytes): bitmaps of 32768 bits, ready to be written; see bloom_load."""
-    at = F.col("bit")
+    at = F.col("bit") + 1  # positions start at 1
     return state.groupBy("key", F.bitmap_bucket_number(at).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bytes"))
 
 

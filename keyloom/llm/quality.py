@@ -112,3 +112,27 @@ def quality(df: DataFrame, host: str = "source", key: str = "doc_id", text: str
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     return quality(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+tri AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM tri) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(3) r(j) GROUP BY doc_id),
+raw AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
+solid AS (SELECT doc_id, source, t, line, lower(regexp_replace(trim(line, E' \t\n\x0b\x0c\r'), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain FROM raw WHERE trim(line, E' \t\n\x0b\x0c\r') <> ''),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM solid GROUP BY doc_id),
+host AS (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source),
+often AS (SELECT source, plain FROM (SELECT source, plain, count(DISTINCT t) AS n FROM solid GROUP BY ALL) JOIN host USING (source) WHERE n >= 10 AND n > 0.02 * texts),
+lost AS (SELECT doc_id, sum(len(string_split(plain, ' '))) AS n FROM solid JOIN often USING (source, plain) GROUP BY doc_id),
+counted AS (
+  SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS lost
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - least(lost, n_words) >= 0.3 * n_words AS kept,
+  CAST(n_words - least(lost, n_words) AS BIGINT) AS words_left
+FROM counted
+"""

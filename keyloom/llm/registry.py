@@ -17,6 +17,7 @@ _QUERIES = {
     "op10_token_counts": token_counts.query,
 }
 _SQL: dict[str, str] = {
+    "op3_quality_rules": quality.SQL,
     "op7_line_dedup": line_dedup.SQL,
 }
 

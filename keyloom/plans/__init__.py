@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["timeseries", "zsets", "sets", "hashes", "keyspace", "lists", "streams", "geo", "vectors", "jsondoc", "sketches"]
+FAMILIES = ["timeseries", "zsets", "sets", "hashes", "keyspace", "lists", "streams", "geo", "vectors", "jsondoc", "sketches", "misc"]
 
 
 def load() -> None:

@@ -33,3 +33,17 @@ def upsert_to(out: DataFrame, path: str, checkpoint: str, mode: str = "complete"
 def append_to(out: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Exactly-once files; the checkpoint is the group's cursor."""
     return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def deliveries(stream: DataFrame, group: str, consumer: Column) -> DataFrame:
+    """A consumer group on a stream: what is new, with its consumer. The query's checkpoint
+    is the group's cursor, so that each entry is delivered once."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return stream.select(F.col("event_type").alias("key"), F.lit(group).alias("grp"), ms.alias("ms"), "event_id", consumer.alias("consumer"))
+
+
+def fan_out(stream: DataFrame, exact: DataFrame, patterns: list[tuple[str, str]] = ()) -> DataFrame:
+    """Copies of each message of a stream (id, channel) for its subscribers."""
+    from ..operators import pubsub
+
+    return pubsub.deliveries(stream, exact, patterns)

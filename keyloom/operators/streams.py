@@ -134,3 +134,36 @@ def auto_claim(pel: DataFrame, stream: DataFrame, consumer: str, now: int, idle:
     gone = seen.where("deleted")
     left = pel.join(gone.select("key", "grp", *ID), ["key", "grp", *ID], "left_anti")
     return claim(left, some, consumer, now, idle), seen
+
+
+def set_id(stream: DataFrame, asked: DataFrame) -> DataFrame:
+    """XSETID: ``asked(key, ms, seq)`` as the last id where it is not below the one there
+    is; ``applied`` tells."""
+    last = stream.groupBy("key").agg(F.max(F.struct(*ID)).alias("last"))
+    both = asked.join(last, "key", "left")
+    ok = F.col("last").isNull() | (id_of() >= F.col("last"))
+    return both.select("key", F.when(ok, F.col("ms")).otherwise(F.col("last.ms")).alias("last_ms"), F.when(ok, F.col("seq")).otherwise(F.col("last.seq")).alias("last_seq"), ok.alias("applied"))
+
+
+def create_groups(groups: DataFrame, new: DataFrame) -> DataFrame:
+    """XGROUP CREATE: ``new(key, grp, last_ms, last_seq)``; groups that exist stay."""
+    return groups.unionByName(new.join(groups, ["key", "grp"], "left_anti").select("key", "grp", "last_ms", "last_seq"))
+
+
+def destroy_groups(groups: DataFrame, pel: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """XGROUP DESTROY: (groups left, pending left)."""
+    on = ["key", "grp"]
+    return groups.join(gone, on, "left_anti"), pel.join(gone, on, "left_anti")
+
+
+def move_groups(groups: DataFrame, ids: DataFrame) -> DataFrame:
+    """XGROUP SETID: cursors to ``ids(key, grp, ms, seq)``, forward or back."""
+    both = groups.join(ids, ["key", "grp"], "left")
+    return both.select("key", "grp", F.coalesce("ms", "last_ms").alias("last_ms"), F.coalesce("seq", "last_seq").alias("last_seq"))
+
+
+def delete_consumers(pel: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """XGROUP DELCONSUMER ``gone(key, grp, consumer)``: (pending left, how many were its)."""
+    on = ["key", "grp", "consumer"]
+    lost = pel.join(gone, on, "left_semi").groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    return pel.join(gone, on, "left_anti"), lost

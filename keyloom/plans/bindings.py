@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..relations import relation
+from ..relations import rank, relation
 from ..sources import table
 
 #: "Now" of all queries, in milliseconds.
@@ -77,8 +77,6 @@ HASHES = "h AS (SELECT 'cust:' || c_custkey AS key, u.field, u.value, u.expires_
 def lists(spark: SparkSession, d: str) -> DataFrame:
     """The event types of each user in order."""
     e = table(spark, d, "events")
-    from ..relations import rank
-
     return e.select(F.col("user_id").alias("key"), F.col("event_type").alias("value"), F.col("event_id")).withColumn("pos", rank([F.col("event_id")])).select("key", "pos", "value")
 
 
@@ -88,8 +86,6 @@ LISTS = "l AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id OR
 def streams(spark: SparkSession, d: str) -> DataFrame:
     """Events by type, with ids (milliseconds, position within the millisecond)."""
     e = table(spark, d, "events").withColumn("key", F.col("event_type")).withColumn("ms", millis())
-    from ..relations import rank
-
     return e.withColumn("seq", rank([F.col("event_id")], ["key", "ms"])).select("key", "ms", "seq", F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("fields"), "event_id", "user_id")
 
 

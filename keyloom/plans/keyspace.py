@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..operators import keyspace as o
 from ..operators import strings as t
+from ..relations import live, rank
 from ..sources import table
 from .bindings import KV, NOW, SETS, WRITES, ZSET, kv, sets, suppliers, zset
 
@@ -77,8 +78,6 @@ def getex(s, d):
 
 @query(W + "SELECT w.key, coalesce(max(live.value), '') || string_agg(w.value, '' ORDER BY w.seq) AS value, CAST(strlen(coalesce(max(live.value), '') || string_agg(w.value, '')) AS INT) AS length FROM w LEFT JOIN live ON w.key = live.key GROUP BY w.key")
 def append(s, d):
-    from ..relations import live
-
     return t.append(live(kv(s, d), NOW), suppliers(s, d))
 
 
@@ -209,8 +208,6 @@ def scan(s, d):
 
 @query("SELECT 1 AS keys, true AS live")
 def randomkey(s, d):
-    from ..relations import live
-
     got = o.random_key(kv(s, d), NOW).join(live(kv(s, d), NOW), "key", "left_semi")
     return got.agg(F.count(F.lit(1)).cast("int").alias("keys")).withColumn("live", F.col("keys") == 1)
 
@@ -260,8 +257,6 @@ def dump_restore(s, d):
 
 @query(W + "SELECT count(*) AS keys, count(expires_at) AS with_deadline, CAST(avg(expires_at - 500000) AS BIGINT) AS avg_ttl FROM live")
 def info_keyspace(s, d):
-    from ..relations import live
-
     return live(kv(s, d), NOW).agg(F.count(F.lit(1)).alias("keys"), F.count("expires_at").alias("with_deadline"), F.round(F.avg(F.col("expires_at") - NOW)).cast("long").alias("avg_ttl"))
 
 
@@ -270,8 +265,6 @@ def info_keyspace(s, d):
 
 def _orders(s, d):
     x = table(s, d, "orders").where("o_custkey % 20 = 0")
-    from ..relations import rank
-
     return x.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").cast("string").alias("value")).withColumn("pos", rank([F.col("value")]))
 
 

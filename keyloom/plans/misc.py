@@ -9,6 +9,7 @@ from .. import streaming
 from ..catalog import query
 from ..functions import Library
 from ..operators import blocking, sketches, transactions
+from ..operators import lists as lists_
 from ..operators import zsets as z
 from ..sources import scratch, table
 from .bindings import KV, LISTS, SERIES, ZSET, kv, lists, series, suppliers, zset
@@ -131,3 +132,18 @@ def stream_publish(s, d):
     messages = streaming.read(s, f"{d}/events.parquet").select(F.col("event_id").alias("id"), F.col("event_type").alias("channel"))
     streaming.append_to(streaming.fan_out(messages, exact, [("c*", "P")]), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return s.read.parquet(f"{folder}/out").groupBy("subscriber").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(L + "SELECT 'moved' AS \"to\", key, value FROM x WHERE key = 7 AND pos = length - 1")
+def blmove(s, d):
+    return lists_.move(lists(s, d), 7, 8, from_right=True)[0].select(F.lit("moved").alias("to"), F.lit(7).cast("long").alias("key"), "value")
+
+
+@query(L + "SELECT key, pos AS n, value FROM x WHERE key = 5 AND pos < 3 AND pos >= 0")
+def blmpop(s, d):
+    return lists_.pop_first(lists(s, d), [-3, 5, 6], 3).select("key", "n", "value")
+
+
+@query(Z + "SELECT key, member, score FROM r WHERE key = '3-MEDIUM' AND rev < 2")
+def bzmpop(s, d):
+    return z.pop_first(zset(s, d), ["none", "3-MEDIUM"], 2, largest=True).select("key", "member", "score")

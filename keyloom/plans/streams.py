@@ -60,3 +60,17 @@ _rows("xclaim", f"SELECT key, consumer, count(*) AS n, sum(hits) AS delivered FR
       lambda s, d: o.claim(pel(s, d), ids(s, d), "c9", NOW, 30 * DAY).groupBy("key", "consumer").agg(F.count(F.lit(1)).alias("n"), F.sum("n_delivered").alias("delivered")))
 _rows("xautoclaim", f"SELECT key, ms, seq, event_id % 10 = 0 AS deleted FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, seq) AS k FROM p WHERE {NOW} - delivered_at >= {30 * DAY}) WHERE k <= 25",
       lambda s, d: o.auto_claim(pel(s, d), o.delete(streams(s, d), ids(s, d))[0], "c9", NOW, 30 * DAY, count=25)[1].select(*IDS, "deleted"))
+
+
+def _asked_ids(s, d):
+    """Late ids for some keys, early ones for others."""
+    early = F.length("key") % 2 == 0
+    return streams(s, d).select("key").distinct().select("key", F.lit("g").alias("grp"), F.when(early, F.lit(JAN)).otherwise(F.lit(NOW)).cast("long").alias("ms"), F.lit(7).cast("long").alias("seq"))
+
+
+_rows("xsetid", f"SELECT key, CASE WHEN length(key) % 2 = 0 THEN ms ELSE {NOW} END AS last_ms, CASE WHEN length(key) % 2 = 0 THEN seq ELSE 7 END AS last_seq, length(key) % 2 <> 0 AS applied FROM x WHERE rev = 1", lambda s, d: o.set_id(streams(s, d), _asked_ids(s, d).drop("grp")))
+_rows("xgroup_create", f"SELECT DISTINCT key, g.grp, CASE g.grp WHEN 'g' THEN {MID} ELSE 0 END AS last_ms, 0 AS last_seq FROM st, (VALUES ('g'), ('h')) g(grp)",
+      lambda s, d: o.create_groups(groups(s, d), groups(s, d).withColumn("last_ms", F.lit(5).cast("long")).unionByName(groups(s, d).select("key", F.lit("h").alias("grp"), F.lit(0).cast("long").alias("last_ms"), "last_seq"))))
+_rows("xgroup_move", f"SELECT DISTINCT key, 'g' AS grp, CASE WHEN length(key) % 2 = 0 THEN {JAN} ELSE {NOW} END AS last_ms, 7 AS last_seq FROM st", lambda s, d: o.move_groups(groups(s, d), _asked_ids(s, d)))
+_rows("xgroup_destroy", "SELECT key, count(*) AS n FROM p WHERE length(key) % 2 = 0 GROUP BY key", lambda s, d: o.destroy_groups(groups(s, d), pel(s, d), groups(s, d).where(F.length("key") % 2 != 0))[1].groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+_rows("xgroup_delconsumer", "SELECT key, 'g' AS grp, consumer, count(*) AS n FROM p WHERE consumer = 'c1' GROUP BY ALL", lambda s, d: o.delete_consumers(pel(s, d), pel(s, d).select("key", "grp", F.lit("c1").alias("consumer")).distinct())[1])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -11,8 +13,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """The folder that all executors share; a plain local session may go without."""
-    import tempfile
-
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":

@@ -22,12 +22,12 @@ SQL = {"avg": "avg(value)", "first": "arg_min(value, t)", "last": "arg_max(value
 
 
 def _aggregated(how):
-    sql = W + f"SELECT key, ts, round(value, 3) AS value FROM (SELECT key, t - (t - {JAN + 777}) % {6 * HOUR} AS ts, {SQL[how]} AS value FROM ts WHERE t >= {JAN + 777} AND t <= {JAN + 20 * DAY} GROUP BY ALL) WHERE value IS NOT NULL"
+    sql = W + f"SELECT key, ts, round(value + 0.0000001, 4) AS value FROM (SELECT key, t - (t - {JAN + 777}) % {6 * HOUR} AS ts, {SQL[how]} AS value FROM ts WHERE t >= {JAN + 777} AND t <= {JAN + 20 * DAY} GROUP BY ALL) WHERE value IS NOT NULL"
 
     @query(sql, name=f"ts_range_{how.replace('.', '_')}_buckets")
     def run(s, d):
         got = o.range_of(typed(s, d), JAN + 777, JAN + 20 * DAY, how, 6 * HOUR)
-        return got.withColumn("value", F.round("value", 3))
+        return got.withColumn("value", F.round(F.col("value") + 1e-7, 4))  # off the ties of rounding
 
 
 for _how in SQL:

@@ -62,13 +62,18 @@ def ranked(zset: DataFrame, reverse: bool = False) -> DataFrame:
 
 
 def rank_of(zset: DataFrame, asked: DataFrame, reverse: bool = False) -> DataFrame:
-    """0-based rank of ``asked(key, member)``: how many of the key's members come before.
-    Only the members asked for are ranked, by one join on the key and a count."""
-    found = asked.join(zset, ["key", "member"]).select("key", F.col("member").alias("m"), F.col("score").alias("s"))
-    other = zset.join(found, "key")
-    us, them = F.struct("s", "m"), F.struct(F.col("score"), F.col("member"))
-    before = (them > us) if reverse else (them < us)
-    return other.groupBy("key", F.col("m").alias("member"), F.col("s").alias("score")).agg(F.count_if(before).alias("rank"))
+    """0-based rank of ``asked(key, member)``. Each row finds between which of its key's
+    asked members it lies; the counts of these gaps are aggregated before they are
+    shuffled, and added up. No key's rows need to meet in one task."""
+    mark = F.struct("score", "member").alias("mark")
+    marks = asked.select("key", "member").distinct().join(zset, ["key", "member"]).groupBy("key").agg(F.array_sort(F.collect_list(mark)).alias("marks"))
+    row = F.struct("score", "member")
+    gaps = zset.join(marks, "key").withColumn("gap", F.size(F.filter("marks", lambda m: m <= row))).groupBy("key", "gap").agg(F.count(F.lit(1)).alias("n"))
+    counted = gaps.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("gap", "n"))).alias("n"))
+    each = marks.join(counted, "key").select("key", "n", F.posexplode("marks").alias("i", "mark"))
+    upto = F.aggregate(F.sequence(F.lit(0), F.col("i")), F.lit(0).cast("long"), lambda acc, g: acc + F.coalesce(F.col("n")[g], F.lit(0)))
+    total = F.aggregate(F.map_values("n"), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return each.select("key", F.col("mark.member").alias("member"), F.col("mark.score").alias("score"), (total - 1 - upto if reverse else upto).alias("rank"))
 
 
 def bound(value: str, low: bool) -> Column:

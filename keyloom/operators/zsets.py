@@ -67,8 +67,8 @@ def rank_of(zset: DataFrame, asked: DataFrame, reverse: bool = False) -> DataFra
     shuffled, and added up. No key's rows need to meet in one task."""
     mark = F.struct("score", "member").alias("mark")
     marks = asked.select("key", "member").distinct().join(zset, ["key", "member"]).groupBy("key").agg(F.array_sort(F.collect_list(mark)).alias("marks"))
-    row = F.struct("score", "member")
-    gaps = zset.join(marks, "key").withColumn("gap", F.size(F.filter("marks", lambda m: m <= row))).groupBy("key", "gap").agg(F.count(F.lit(1)).alias("n"))
+    below = lambda m: (m.score < F.col("score")) | ((m.score == F.col("score")) & (m.member <= F.col("member")))
+    gaps = zset.join(marks, "key").withColumn("gap", F.size(F.filter("marks", below))).groupBy("key", "gap").agg(F.count(F.lit(1)).alias("n"))
     counted = gaps.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("gap", "n"))).alias("n"))
     each = marks.join(counted, "key").select("key", "n", F.posexplode("marks").alias("i", "mark"))
     upto = F.aggregate(F.sequence(F.lit(0), F.col("i")), F.lit(0).cast("long"), lambda acc, g: acc + F.coalesce(F.col("n")[g], F.lit(0)))

@@ -13,6 +13,12 @@ pairs. An exact weighted Jaccard similarity decides on a link: first on each nod
 frequent one, then on all those that lie between different components, and links
 within a component need no more proof. Components are found by joins.
 
+Nodes of a bucket that is still in several components then meet without a centre: two
+texts of similarity 0.8 share one of their rarest copies of shingles, a fifth of each text
+(prefix filter; any one order of the copies is exact, rare ones first keeps groups small).
+After a few rounds of centres, what shares one, lies apart and can be similar by lengths
+and places is verified as well, so that no pair that shares a bucket is lost.
+
 A class is a component; its id is the least doc_id in it. Texts without words are copies
 only of equal texts; null counts as the empty text. Rows that share a doc_id are one
 document; a null doc_id has the class of its copies, or null. An empty table gives no rows.
@@ -24,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +45,11 @@ COORDINATES = BANDS * ROWS
 #: Darts that fill all coordinates of 19 texts in 20.
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 3))
 
+#: Buckets in which copies of shingles are counted to tell rare ones.
+RARITY = 1 << 16
+#: Rounds in which texts that share a rare copy meet a centre, before those left meet each other.
+STAR_ROUNDS = 2
+
 #: Ids of texts to compare are broadcast up to this number, and joined by shuffle beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -150,6 +161,90 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("x", _similar("su", "s")).where(F.col("x") >= SIMILARITY).select("u", "v")
 
 
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many copies of shingles of ``sets`` fall into each of ``RARITY`` buckets."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for raw in batch["s"]:
+                unit, _ = _copies(raw)
+                total += np.bincount((unit % np.uint64(RARITY)).astype(np.int64), minlength=RARITY)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"at": at, "n": total[at]})
+
+    out = np.zeros(RARITY, np.int64)
+    for r in sets.select("s").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out
+
+
+def _copies(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    s = np.frombuffer(raw, np.uint64)
+    return units(s, np.array([0, len(s)]))
+
+
+def _prefixes(sets: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """(k, size, place, unit): the rarest copies of each text, one of which every text of
+    high enough similarity has among its own."""
+
+    def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, raw in zip(batch["k"], batch["s"]):
+                unit, _ = _copies(raw)
+                n = len(unit)
+                if n:
+                    rare = np.lexsort((unit, rarity[(unit % np.uint64(RARITY)).astype(np.int64)]))
+                    rare = rare[: n - int(np.ceil(SIMILARITY * n - 1e-6)) + 1]
+                    yield pd.DataFrame({"k": k, "size": n, "place": np.arange(len(rare)), "unit": unit[rare].view(np.int64)})
+
+    key = sets.schema["k"].dataType.simpleString()
+    return sets.select("k", "s").mapInPandas(prefix, f"k {key}, size long, place long, unit long")
+
+
+def _possible(left: Column, sizes: Column) -> Column:
+    """Whether texts can be similar that have ``left`` copies in common at most."""
+    return left * (1 + SIMILARITY) >= SIMILARITY * sizes - 1e-6
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    return materialize(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links)), "roots")
+
+
+def _rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
+    return df.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+
+
+def _missed(places: DataFrame, roots: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``roots`` after the links within buckets that their centres do not show."""
+    placed = _rooted(places, roots).select("k", "band", "root")
+    mixed = placed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("z")).where("n > 2 AND a < z").select("band")
+    unsure = materialize(placed.join(mixed, "band").select("k", "root").distinct(), "open")
+    own = materialize(sets.join(unsure, "k"), "own")
+    rare = materialize(_prefixes(own, _rarity(own)).join(unsure, "k"), "rare")
+    shared = rare.groupBy("unit").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("unit")
+    rare = materialize(rare.join(shared, "unit").drop("root"), "shared")
+    done = pairs.select("u", "v")
+    for n in range(STAR_ROUNDS):  # joins most of what belongs together without pairs
+        now = _rooted(rare, roots)
+        centre = now.groupBy("unit").agg(F.min(F.struct(F.xxhash64("k", "unit", F.lit(n)).alias("h"), "k", "root", "size", "place")).alias("c"))
+        tried = now.join(centre, "unit").where(F.col("root") != F.col("c.root")).where(_possible(F.least(F.col("size") - F.col("place"), F.col("c.size") - F.col("c.place")), F.col("size") + F.col("c.size")))
+        tried = tried.select(F.greatest("k", "c.k").alias("u"), F.least("k", "c.k").alias("v")).distinct()
+        tried = materialize(tried.join(done, ["u", "v"], "left_anti"), "tried")
+        done = done.union(tried)
+        roots = _merged(roots, _verified(tried, sets))
+    now = materialize(_rooted(rare, roots), "rooted")
+    parts = now.groupBy("unit", "root").agg(F.max(F.col("size") - F.col("place")).alias("left"), F.min("size").alias("least"))
+    one, two = (parts.select("unit", *(F.col(c).alias(f"{c}{i}") for c in ("root", "left", "least"))) for i in (1, 2))
+    apart = one.join(two, "unit").where((F.col("root1") < F.col("root2")) & _possible(F.least("left1", "left2"), F.col("least1") + F.col("least2"))).select("unit", "root1", "root2")
+    for i in ("1", "2"):
+        apart = apart.join(now.select("unit", *(F.col(c).alias(f"{c}{i}") for c in ("root", "k", "size", "place"))), ["unit", f"root{i}"])
+    left = F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2"))  # in common at most, if this copy is the first one
+    near = apart.where(_possible(left, F.col("size1") + F.col("size2")))
+    tried = near.select(F.greatest("k1", "k2").alias("u"), F.least("k1", "k2").alias("v")).distinct()
+    return _merged(roots, _verified(materialize(tried.join(done, ["u", "v"], "left_anti"), "missed"), sets))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id) for every row of ``docs``."""
     signed = materialize(docs.select(F.col(key).alias("k"), _signed(F.col(text)).alias("x")).select("k", "x.*"), "signed")
@@ -173,7 +268,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
     apart = rest.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
     more = _verified(apart, sets)
-    final = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+    starred = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+    final = _missed(places, starred, sets, pairs)
     member = signed.join(nodes.select("fa", "fb", F.col("k").alias("head")), ["fa", "fb"], "left").select(F.col("k"), "head")
     found = member.join(final, F.col("head") == F.col("node"), "left")
     return found.select(F.col("k").alias(key), F.coalesce("root", "head").alias("class_id"))

@@ -197,6 +197,33 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == set(got.values())
 
 
+def test_near_copies_of_a_shared_passage_meet(spark):
+    rng = random.Random(31)
+    texts, groups = [], []
+    for _ in range(3):
+        passage = [rng.choice(WORDS) for _ in range(300)]
+        first = len(texts)
+        texts += [" ".join(passage) + " " + sentence(150, rng) for _ in range(250)]
+        for n in range(2):
+            edited = list(passage)
+            for at in (60 + 90 * n, 105 + 90 * n):
+                edited[at] = f"edit{n}"
+            texts.append(" ".join(edited))
+        groups.append(range(first, len(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
+    sets = [np.sort(s) for _, held in blocks(texts) for s, at in [shingles(*words(held))] for s in np.split(s, at[1:-1])]
+    want = {i: i for i in range(len(texts))}
+    for group in groups:
+        for i in group:
+            for j in range(group[0], i):
+                if decontaminate.similarity(sets[i], sets[j]) >= near_dedup.SIMILARITY:
+                    old, new = max(want[i], want[j]), min(want[i], want[j])
+                    want = {k: new if v == old else v for k, v in want.items()}
+    assert sum(want[k] != k for k in want) == 3
+    assert got == want
+
+
 def test_near_dedup_on_odd_rows(spark):
     docs, _ = odd_docs(spark)
     assert near_dedup.classes(docs).count() == docs.count()

@@ -64,6 +64,29 @@ def _similarity(x: np.ndarray, q: np.ndarray, quant: str) -> np.ndarray:
     return (dot / dim + 1) / 2 if quant == "bin" else dot  # bin: 1 - hamming / dim
 
 
+#: Queries and rows that are compared at once.
+QUERY_BLOCK, ROW_BLOCK = 256, 4096
+
+_SCORED = "query string, element string, score double"
+
+
+def _best(names, given: np.ndarray, elements: np.ndarray, rows: np.ndarray, count: int, quant: str, epsilon: float | None, other: bool) -> Iterator[pd.DataFrame]:
+    """The ``count`` best of a batch of rows for each query; ``given`` is prepared."""
+    score = _similarity(_prepare(rows, quant), given, quant)
+    by_name = np.argsort(elements, kind="stable")
+    e = elements[by_name]
+    for j, name in enumerate(names):
+        s = score[by_name, j]
+        keep = np.ones(len(e), bool)
+        if other:
+            keep &= e != name
+        if epsilon is not None and quant != "bin":
+            keep &= s >= epsilon
+        at = np.flatnonzero(keep)
+        at = at[np.argsort(-s[at], kind="stable")[:count]]
+        yield pd.DataFrame({"query": name, "element": e[at], "score": s[at]})
+
+
 def nearest(vectors: DataFrame, queries: list[tuple[str, list[float]]], count: int = 10, quant: str = "none", epsilon: float | None = None, where: Column | None = None, other: bool = False) -> DataFrame:
     """(query, element, score, n): the ``count`` best rows for each of a block of
     ``queries``; ties go by element. ``epsilon``: the least score (not for bin). ``other``:
@@ -76,24 +99,39 @@ def nearest(vectors: DataFrame, queries: list[tuple[str, list[float]]], count: i
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = _prepare(given, quant)
         for batch in batches:
-            if not len(batch):
-                continue
-            elements = batch["element"].to_numpy()
-            score = _similarity(_prepare(np.stack(batch["vec"].to_list()).astype(np.float64), quant), q, quant)
-            by_name = np.argsort(elements, kind="stable")
-            for j, name in enumerate(names):
-                s = score[by_name, j]
-                e = elements[by_name]
-                keep = np.ones(len(e), bool)
-                if other:
-                    keep &= e != name
-                if epsilon is not None and quant != "bin":
-                    keep &= s >= epsilon
-                at = np.flatnonzero(keep)
-                at = at[np.argsort(-s[at], kind="stable")[:count]]
-                yield pd.DataFrame({"query": name, "element": e[at], "score": s[at]})
-
-    got = vectors.select("element", "vec").mapInPandas(best, "query string, element string, score double")
+            if len(batch):
+                yield from _best(names, q, batch["element"].to_numpy(), np.stack(batch["vec"].to_list()).astype(np.float64), count, quant, epsilon, other)
+
+    got = vectors.select("element", "vec").mapInPandas(best, _SCORED)
+    return got.withColumn("n", rank([F.desc("score"), F.col("element")], "query")).where(F.col("n") < count)
+
+
+def _blocks(df: DataFrame, size: int, prefix: str) -> DataFrame:
+    """Rows of at most ``size`` elements and their vectors as bytes."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), size):
+                part = batch.iloc[i : i + size]
+                yield pd.DataFrame({"e": [part["element"].tolist()], "m": [np.stack(part["vec"].to_list()).astype(np.float64).tobytes()]})
+
+    return df.select("element", "vec").mapInPandas(pack, "e array<string>, m binary").toDF(f"{prefix}e", f"{prefix}m")
+
+
+def nearest_to_all(vectors: DataFrame, queries: DataFrame, count: int = 10, quant: str = "none", epsilon: float | None = None, where: Column | None = None, other: bool = False) -> DataFrame:
+    """``nearest`` for any number of ``queries(element, vec)``: blocks of queries meet blocks
+    of rows on the executors, and none passes through the driver."""
+    if where is not None:
+        vectors = vectors.where(where)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for qe, qm, e, m in zip(batch["qe"], batch["qm"], batch["e"], batch["m"]):
+                given, rows = (np.frombuffer(x, np.float64).reshape(len(n), -1) for n, x in ((qe, qm), (e, m)))
+                yield from _best(qe, _prepare(given, quant), np.array(e, object), rows, count, quant, epsilon, other)
+
+    both = _blocks(queries, QUERY_BLOCK, "q").crossJoin(_blocks(vectors, ROW_BLOCK, ""))
+    got = both.mapInPandas(best, _SCORED)
     return got.withColumn("n", rank([F.desc("score"), F.col("element")], "query")).where(F.col("n") < count)
 
 

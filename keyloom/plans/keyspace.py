@@ -107,7 +107,7 @@ def setrange(s, d):
 
 @query(None)
 def lcs(s, d):
-    p = table(s, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("key"), "p_name", "p_type")
+    p = table(s, d, "part").select(F.col("p_partkey").alias("key"), "p_name", "p_type")
     x = t.lcs()(F.col("p_name"), F.col("p_type"))
     return p.select("key", x.alias("x")).select("key", F.col("x.lcs").cast("string").alias("lcs"), "x.length", F.size("x.matches").alias("ranges"))
 

@@ -9,6 +9,23 @@ from keyloom.operators import vectors
 DATA = "/root/testdata/sf0.001"
 
 
+def test_lcs_of_every_part(spark):
+    parts = spark.read.parquet(f"{DATA}/part.parquet").select("p_partkey", "p_name", "p_type").collect()
+    got = {r["key"]: r for r in catalog.queries()["lcs"](spark, DATA).collect()}
+    assert set(got) == {r["p_partkey"] for r in parts}
+    for key, a, b in parts:
+        before = [0] * (len(b) + 1)
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(before[j] + 1 if x == y else max(row[j], before[j + 1]))
+            before = row
+        assert got[key]["length"] == before[-1] == len(got[key]["lcs"])
+        for whole in (a, b):
+            rest = iter(whole)
+            assert all(x in rest for x in got[key]["lcs"])
+
+
 @pytest.mark.parametrize("blocks", [(256, 4096), (2, 37)])
 def test_q8_search_asks_for_every_hundredth_element(spark, monkeypatch, blocks):
     monkeypatch.setattr(vectors, "QUERY_BLOCK", blocks[0])

@@ -9,6 +9,7 @@ maximal range of windows with the same anchor.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from hashlib import blake2b
 
 import numpy as np
 
@@ -49,21 +50,21 @@ def blocks(raw: Sequence[bytes]) -> Iterator[tuple[int, list[bytes]]]:
 
 class Runs:
     """Runs of a block of texts. Arrays: text, lo and hi (first and last window start within
-    the text), left (bytes from lo to the anchor), gram (hash of the anchor), span (hash of all the run's bytes and of where
-    the anchor stands in them)."""
+    the text), left (bytes from lo to the anchor) and gram (hash of the anchor)."""
 
     def __init__(self, held: list[bytes], length: int):
-        data = np.frombuffer(b"".join(held), np.uint8)
+        raw = b"".join(held)
+        data = np.frombuffer(raw, np.uint8)
         begin = np.concatenate(([0], np.cumsum([len(b) for b in held]))).astype(np.int64)
         n, across = len(data), length - GRAM + 1
         if n < length:
             self.text = self.lo = self.hi = self.left = np.empty(0, np.int64)
-            self.gram = self.span = np.empty(0, np.uint64)
+            self.gram, self._raw, self._at, self._end = np.empty(0, np.uint64), b"", self.lo, self.lo
             return
         sums = prefix_sums(data)
         _, down = powers(n + 1)
         gram = mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
-        bits = np.uint64(max(int(n).bit_length(), 1))
+        bits = np.uint64(32)  # the same in every block, so that equal windows choose alike
         key = gram >> bits << bits | np.arange(len(gram), dtype=np.uint64)
         rows = -(-len(key) // across)
         square = np.full(rows * across, np.iinfo(np.uint64).max)
@@ -88,4 +89,11 @@ class Runs:
         off = begin[self.text]
         self.lo, self.hi, self.left = at - off, stop - off, anchor[at] - at
         self.gram = gram[anchor[at]]
-        self.span = mix((sums[stop + length] - sums[at]) * down[at] + self.left.astype(np.uint64))
+        self._raw, self._at, self._end = raw, at, stop + length
+
+    def digests(self) -> np.ndarray:
+        """Two longs for each run: a cryptographic digest of its bytes. No two strings of
+        the same digest are known."""
+        raw = memoryview(self._raw)
+        found = [blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(self._at.tolist(), self._end.tolist())]
+        return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)

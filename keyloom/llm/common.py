@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 import os
 import tempfile
 import uuid
@@ -12,7 +15,8 @@ from pyspark.sql import functions as F
 #: Rows whose crc32(doc_id as text) leaves this remainder are never learned from.
 FOLDS, HELD_OUT_FOLD = 5, 0
 
-_scratch: list[str] = []
+_left: ContextVar[list[str] | None] = ContextVar("keyloom_scratch", default=None)
+_local: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def held_out(doc_id: Column) -> Column:
-    """True for the documents that no model may learn from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT_FOLD
+    """True for the documents that no model may learn from; those without an id are too."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT_FOLD, F.lit(True))
+
+
+def identity(text: Column) -> list[Column]:
+    """Two 64-bit hashes that stand for a whole text; null is the empty text."""
+    body = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(body), F.xxhash64(F.lit(7), body)]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,34 +44,58 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="keyloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="keyloom-")
+        folder = _local[app]
     return folder
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends here, and a
-    lost executor costs no more than the files of the tasks it was running."""
+    lost executor costs no more than the files of the tasks it was running. The table goes
+    with the ``scratch`` around the call, if there is one."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"keyloom-{what}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    _scratch.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (held := _left.get()) is not None:
+        held.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["scratch_path"] = path
+    return out
 
 
-def release(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Delete materialized tables (all of this process by default). Only when no
-    DataFrame that reads them is still to be evaluated."""
-    gone = list(_scratch) if paths is None else paths
-    for path in gone:
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete materialized tables. Only when no DataFrame that reads them is still to be
+    evaluated."""
+    for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        if path in _scratch:
-            _scratch.remove(path)
 
 
-def scratch_paths() -> list[str]:
-    return list(_scratch)
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of all tables that the body materializes (those of this thread alone) and
+    does not release itself."""
+    paths: list[str] = []
+    token = _left.set(paths)
+    try:
+        yield paths
+    finally:
+        _left.reset(token)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables that the body materializes are deleted at its end, but for those that it puts
+    into the list it gets; these belong to the scope around it."""
+    keep: list[DataFrame] = []
+    with collected() as paths:
+        yield keep
+    kept = [df.__dict__["scratch_path"] for df in keep]
+    release(spark, [p for p in paths if p not in kept])
+    if (outer := _left.get()) is not None:
+        outer.extend(kept)
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:

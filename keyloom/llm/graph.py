@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, scratch_paths
+from .common import materialize, release, scratch
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -26,14 +26,17 @@ def _small(e: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v) that is not the least of its
     component; the root is the least. Each pass is written to the shared folder, and the
-    number of passes grows with the logarithm of the nodes."""
-    now = materialize(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+    number of passes grows with the logarithm of the nodes. A node with very many links is
+    a skewed key of two longs a row, which adaptive execution splits."""
     mark = None
-    while True:
-        path = scratch_paths()[-1]
-        then = materialize(_small(_large(now)).distinct(), "stars")
-        n, total = then.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        release(edges.sparkSession, [path])
-        if (n, total) == mark:
-            return then.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        now, mark = then, (n, total)
+    now = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    with scratch(edges.sparkSession) as keep:
+        now = materialize(now, "stars")
+        while True:
+            then = materialize(_small(_large(now)).distinct(), "stars")
+            release(edges.sparkSession, [now.__dict__["scratch_path"]])
+            n, total = then.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if (n, total) == mark:
+                keep.append(then)
+                return then.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            now, mark = then, (n, total)

@@ -3,20 +3,22 @@
 Every ``LENGTH``-byte string (a window) that starts anywhere else too is removed. Windows
 are first cut down to those that can be repeated: each has an anchor that depends on its
 bytes alone (see ``anchors``), so only runs of windows whose anchor occurs twice go on.
-Runs that are equal over all their bytes repeat each of their windows, and need no more than
-a count. What is left are the runs at the edges of repeated passages. One of each kind is
-taken with its bytes; the suffixes that start at its windows are sorted, by groups of
-the same anchor at the same distance, in a merge sort that compares two suffixes by binary
-search for their common extension on polynomial prefix hashes. Neighbours with a common
-extension of a window's length are compared byte by byte before they count as equal.
+Runs of the same bytes, known by a 128-bit cryptographic digest of all of them, repeat each
+of their windows. What is left are the runs at the edges of repeated passages. One of each
+kind is taken with its bytes; the suffixes that start at its windows are sorted, by groups
+of the same anchor at the same distance, in a merge sort that compares two suffixes by
+binary search for their common extension on polynomial prefix hashes. Neighbours with a
+common extension of a window's length are compared byte by byte before they count as equal.
 
 Counts are aggregated before they are shuffled, joins on anchors are split where they are
-skewed, and an anchor with more than ``GROUP_RUNS`` different runs is sorted in salted parts
-whose windows then meet by two 64-bit hashes. No step needs a group in one task.
-
-Null texts are empty. Texts shorter than a window stay whole. Rows that repeat a text, also
-under one doc_id, are different documents, so all their windows are repeated. An empty table
-gives no rows.
+skewed, and an anchor with more than ``GROUP_RUNS`` different runs is sorted in salted parts.
+Windows of different parts meet by a 64-bit hash and then by their bytes, so the
+verification is the same at every size. No step needs a group in one task.
+
+A text is known by two 64-bit hashes, never by its doc_id, which may be null, shared or of
+any type: rows that repeat a text, also under one doc_id, are different documents, so all
+their windows are repeated. Null texts are empty. Texts shorter than a window stay whole. An
+empty table gives no rows. Columns other than key and text are not carried.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import Runs, between, blocks, prefix_sums
-from .common import materialize, table
+from .common import identity, materialize, scratch, table
 from .hashing import mix
 
 LENGTH = 200
@@ -40,32 +42,31 @@ GROUP_RUNS = 2048
 #: Windows that are sorted at once.
 SORT_WINDOWS = 400_000
 
-# A run's place in one long: 15 bits of the text's hash, first window, windows - 1, left.
-_TEXT_BITS, _LO_BITS = 15, 32
-
-
-def _text_mark(text: Column) -> Column:
-    return F.pmod(F.xxhash64(text), F.lit(1 << _TEXT_BITS))
+#: Windows of edges for each task of the sort, and the most tasks.
+TASK_WINDOWS, MOST_TASKS = 1_500_000, 50_000
 
 
 def _raw(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
-def _runs(docs: DataFrame, length: int) -> DataFrame:
-    """(k, gram, span, place) of every run."""
+def _runs(texts: DataFrame, length: int, whole: bool) -> DataFrame:
+    """(gram) of every run of (a, b, t) or, with ``whole``, (a, b, gram, d, e, place): the
+    text's identity, the anchor, the digest, and first window, windows - 1 and left in one long."""
+    kind = ("a", "b", "gram", "d", "e", "place") if whole else ("gram",)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, mark = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
             for begin, held in blocks(_raw(batch.column(2))):
                 r = Runs(held, length)
-                row = r.text + begin
-                place = mark[row] << 48 | r.lo << 16 | (r.hi - r.lo) << 8 | r.left
-                yield pa.RecordBatch.from_arrays([key.take(pa.array(row)), pa.array(r.gram.view(np.int64)), pa.array(r.span.view(np.int64)), pa.array(place)], names=["k", "gram", "span", "place"])
+                columns = [pa.array(r.gram.view(np.int64))]
+                if whole:
+                    row, digest = pa.array(r.text + begin), r.digests()
+                    place = r.lo << 16 | (r.hi - r.lo) << 8 | r.left
+                    columns = [batch.column(0).take(row), batch.column(1).take(row), *columns, pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, names=list(kind))
 
-    kind = T.StructType([T.StructField("k", docs.schema["k"].dataType), *(T.StructField(c, T.LongType()) for c in ("gram", "span", "place"))])
-    return docs.select("k", _text_mark(F.col("t")).alias("m"), "t").mapInArrow(find, kind)
+    return texts.select("a", "b", "t").mapInArrow(find, T.StructType([T.StructField(c, T.LongType()) for c in kind]))
 
 
 # ---- the suffix sort
@@ -164,30 +165,29 @@ def repeated_windows(contexts: list[bytes], gram: np.ndarray, left: np.ndarray,
     return of, nth, hit, first, suffixes
 
 
-_MARKS = "gram long, span long, lo int, hi int, h1 long, h2 long"
+_MARKS = "gram long, d long, e long, lo int, hi int, h long, w binary"
 
 
 def _sorted(length: int):
     """Batches sorted by (gram, salt) to marks: ranges of repeated windows and, for salted
-    groups, hashes of each window."""
+    groups, the hash and bytes of one window of each kind in the part."""
 
     def marks(rows: pd.DataFrame) -> pd.DataFrame:
         part = rows.gram.to_numpy() ^ mix(rows.salt.to_numpy().astype(np.uint64) + np.uint64(1)).view(np.int64)
         of, nth, hit, first, suffixes = repeated_windows(rows.bytes.tolist(), part, rows.left.to_numpy().astype(np.int64), length)
-        gram, span, hot = (rows[c].to_numpy() for c in ("gram", "span", "hot"))
+        gram, d, e, hot = (rows[c].to_numpy() for c in ("gram", "d", "e", "hot"))
         edge = np.diff(hit.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
         switch = np.flatnonzero(of[1:] != of[:-1]) + 1 if len(of) else np.empty(0, int)
         start = np.union1d(np.flatnonzero(edge == 1), switch[hit[switch]])
         stop = np.union1d(np.flatnonzero(edge == -1) - 1, switch[hit[switch - 1]] - 1)
-        out = pd.DataFrame({"gram": gram[of[start]], "span": span[of[start]], "lo": nth[start], "hi": nth[stop]})
+        out = pd.DataFrame({"gram": gram[of[start]], "d": d[of[start]], "e": e[of[start]], "lo": nth[start], "hi": nth[stop], "h": None, "w": None})
         each = np.flatnonzero(hot[of] & first)  # one of each kind of window
         x = suffixes.start[each]
-        h1 = mix(between(suffixes.sums, x, x + length))
-        other = prefix_sums(suffixes.data ^ np.uint8(0x5A))
-        h2 = mix(between(other, x, x + length) ^ np.uint64(0xA5A5))
-        hashes = pd.DataFrame({"gram": gram[of[each]], "span": span[of[each]], "lo": nth[each], "hi": nth[each], "h1": h1.view(np.int64), "h2": h2.view(np.int64)})
-        both = pd.concat([out.assign(h1=None, h2=None), hashes.astype({"h1": object, "h2": object})], ignore_index=True)
-        return both.astype({"h1": "Int64", "h2": "Int64"})
+        h = mix(between(suffixes.sums, x, x + length)).view(np.int64)
+        raw = suffixes.data.tobytes() if len(each) else b""
+        windows = [raw[i : i + length] for i in x.tolist()]
+        met = pd.DataFrame({"gram": gram[of[each]], "d": d[of[each]], "e": e[of[each]], "lo": nth[each], "hi": nth[each], "h": h, "w": windows})
+        return pd.concat([out.astype({"h": object}), met.astype({"h": object})], ignore_index=True).astype({"h": "Int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, windows = [], 0
@@ -219,46 +219,47 @@ def _sorted(length: int):
 # ---- the plan
 
 
-def _place(name: str, what: str) -> Column:
-    p = F.col(name)
-    return {
-        "mark": F.shiftright(p, 48),
-        "lo": F.shiftright(p, 16).bitwiseAND((1 << _LO_BITS) - 1),
-        "more": F.shiftright(p, 8).bitwiseAND(255),
-        "left": p.bitwiseAND(255),
-    }[what].cast("long" if what == "mark" else "int")
-
-
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, group_runs: int = GROUP_RUNS) -> DataFrame:
-    """(k, mark, ranges): bytes to remove of each document (k, t) that has any, as longs
-    ``first << 32 | end``; ``mark`` tells texts of one k apart."""
-    runs = _runs(docs, length)
-    twice = materialize(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("gram"), "grams")
-    found = materialize(runs.join(twice, "gram"), "runs")
-    kinds = materialize(found.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "place")).alias("one")), "spans")
-    mixed = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > 1)
-    salts = F.expr(f"cast(d div {group_runs} as int)")
+def _lo(place: str) -> Column:
+    return F.shiftright(place, 16)
+
+
+def _more(place: str) -> Column:
+    return F.shiftright(place, 8).bitwiseAND(255).cast("int")
+
+
+def repeated_ranges(texts: DataFrame, length: int = LENGTH, group_runs: int = GROUP_RUNS) -> DataFrame:
+    """(a, b, ranges): bytes to remove of each text (a, b, t) that has any, as longs
+    ``first << 32 | end``; (a, b) is the identity of the text t."""
+    one = ["gram", "d", "e"]
+    twice = materialize(_runs(texts, length, False).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("gram"), "grams")
+    found = materialize(_runs(texts, length, True).join(twice, "gram"), "runs")
+    kinds = materialize(found.groupBy(*one).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", "b", "place")).alias("at")), "kinds")
+    mixed = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
+    salts = F.expr(f"cast(k div {group_runs} as int)")
     edge = kinds.join(mixed, "gram").select(
-        "gram", "span", F.col("one.k").alias("k"), _place("one.place", "mark").alias("mark"),
+        F.col("at.a").alias("wa"),
+        F.col("at.b").alias("wb"),
         F.struct(
-            "gram", "span", F.pmod(F.xxhash64("span"), F.greatest(salts + 1, F.lit(1))).cast("int").alias("salt"), (salts > 0).alias("hot"),
-            _place("one.place", "lo").alias("lo"), (_place("one.place", "more") + 1).alias("windows"), _place("one.place", "left").alias("left"),
+            *one, F.pmod(F.xxhash64("d"), F.greatest(salts + 1, F.lit(1))).cast("int").alias("salt"), (salts > 0).alias("hot"),
+            _lo("at.place").alias("lo"), (_more("at.place") + 1).alias("windows"), F.col("at.place").bitwiseAND(255).cast("int").alias("left"),
         ).alias("run"),
     )
-    wanted = materialize(edge.groupBy("k", "mark").agg(F.collect_list("run").alias("runs")), "edges").withColumnsRenamed({"k": "wk", "mark": "wm"})
-    body = docs.select("k", _text_mark(F.col("t")).alias("mark"), F.encode(F.coalesce("t", F.lit("")), "UTF-8").alias("b"))
-    cut = body.join(wanted, F.col("k").eqNullSafe(F.col("wk")) & (F.col("mark") == F.col("wm"))).select("b", F.inline("runs"))
-    contexts = cut.select("gram", "span", "salt", "hot", "windows", "left", F.substring("b", F.col("lo") + 1, F.col("windows") + length - 1).alias("bytes"))
-    parts = contexts.repartition("gram", "salt").sortWithinPartitions("gram", "salt")
+    wanted = materialize(edge.groupBy("wa", "wb").agg(F.collect_list("run").alias("runs")), "edges")
+    windows = wanted.select(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r.windows))).first()[0] or 0
+    body = texts.select("a", "b", F.encode(F.coalesce("t", F.lit("")), "UTF-8").alias("t")).join(wanted, (F.col("a") == F.col("wa")) & (F.col("b") == F.col("wb")))
+    cut = body.select("t", F.inline("runs")).select(*one, "salt", "hot", "windows", "left", F.substring("t", F.col("lo") + 1, F.col("windows") + length - 1).alias("bytes"))
+    tasks = int(min(max(windows // TASK_WINDOWS + 1, texts.sparkSession.sparkContext.defaultParallelism), MOST_TASKS))
+    parts = cut.distinct().repartition(tasks, "gram", "salt").sortWithinPartitions("gram", "salt")  # copies of a text send the same runs
     marks = materialize(parts.mapInPandas(_sorted(length), _MARKS), "marks")
-    salted = marks.where(F.col("h1").isNotNull())
-    often = salted.groupBy("gram", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("gram", "h1", "h2")
-    ranges = marks.where(F.col("h1").isNull()).select("gram", "span", "lo", "hi").union(salted.join(often, ["gram", "h1", "h2"]).select("gram", "span", "lo", "hi"))
-    whole = kinds.where(F.col("n") > 1).select("gram", "span", F.lit(0).alias("lo"), _place("one.place", "more").alias("hi"))
-    gone = found.join(whole.union(ranges), ["gram", "span"])
-    first = (_place("place", "lo") + F.col("lo")).cast("long")
-    each = gone.select("k", _place("place", "mark").alias("mark"), F.shiftleft(first, 32).bitwiseOR(first + F.col("hi") - F.col("lo") + length).alias("r"))
-    return each.groupBy("k", "mark").agg(F.array_sort(F.collect_set("r")).alias("ranges"))
+    met = marks.where(F.col("h").isNotNull())
+    likely = met.join(met.groupBy("gram", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("gram", "h"), ["gram", "h"])
+    equal = likely.groupBy("gram", "w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("gram", "w")
+    ranges = marks.where(F.col("h").isNull()).select(*one, "lo", "hi").union(likely.join(equal, ["gram", "w"]).select(*one, "lo", "hi"))
+    whole = kinds.where(F.col("n") > 1).select(*one, F.lit(0).alias("lo"), _more("at.place").alias("hi"))
+    gone = found.join(whole.union(ranges), one)
+    first = _lo("place") + F.col("lo")
+    each = gone.select("a", "b", F.shiftleft(first, 32).bitwiseOR(first + F.col("hi") - F.col("lo") + length).alias("r"))
+    return each.groupBy("a", "b").agg(F.array_sort(F.collect_set("r")).alias("ranges"))
 
 
 _KEPT = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
@@ -284,9 +285,13 @@ def _cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def dedup_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, group_runs: int = GROUP_RUNS, digest: bool = False) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept): ``kept`` are the bytes left of each text
     or, with ``digest``, their sha256 in hex as kept_sha256."""
-    docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    found = repeated_ranges(docs, length, group_runs).withColumnsRenamed({"k": "fk", "mark": "fm"})
-    both = docs.withColumn("mark", _text_mark(F.col("t"))).join(found, F.col("k").eqNullSafe(F.col("fk")) & (F.col("mark") == F.col("fm")), "left")
+    a, b = identity(F.col(text))
+    docs = df.select(F.col(key).alias("k"), a.alias("a"), b.alias("b"), F.col(text).alias("t"))
+    with scratch(df.sparkSession) as keep:
+        found = materialize(repeated_ranges(docs, length, group_runs), "ranges")
+        keep.append(found)
+    found = found.withColumnsRenamed({"a": "fa", "b": "fb"})
+    both = docs.join(found, (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left")
 
     @F.pandas_udf(_KEPT)
     def cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -301,7 +306,7 @@ def dedup_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", length:
 
     out = both.select(F.col("k").alias(key), F.octet_length(F.coalesce("t", F.lit(""))).cast("long").alias("n_bytes"), cut("t", "ranges").alias("c"))
     last = F.col("c.kept").cast("string").alias("kept_sha256") if digest else F.col("c.kept").alias("kept")
-    return out.select(key, "n_bytes", "c.n_removed", "c.n_spans", last)
+    return out.select(F.col(key), "n_bytes", "c.n_removed", "c.n_spans", last)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

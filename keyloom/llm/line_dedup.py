@@ -1,17 +1,18 @@
 """Removal of lines that stand in three-line windows seen before.
 
 A window is three consecutive lines that are not blank, compared without the white space
-around them. Of all places of a window, the first by (doc_id, position) stays; the lines of
-every later place are removed, where overlapping windows merge. Lines are split at \\n;
+around them. Of all places of a window, the first by (doc_id, text's hash, position) stays;
+the lines of every later place are removed, where overlapping windows merge. Lines are split at \\n;
 blank lines stay. Windows are known by two 64-bit hashes.
 
 Counts and first places are aggregated before they are shuffled, and the places of a
 window that a third of all documents hold meet the table of repeated windows in a join that
 adaptive execution splits.
 
-Null texts have no lines and stay null; texts of under three lines are never changed. Rows
-that share a doc_id are places of the same document: what only they repeat at the same
-position stays in each. Columns other than the text are carried as they are.
+Null texts have no lines and stay null; texts of under three lines are never changed. A
+document is a doc_id of any type with a text: different texts of one doc_id, or of none (null
+comes first), are different documents, and rows that repeat both are one document, judged
+alike. Columns other than the text are carried as they are.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, identity, table
 
 WINDOW = 3
 
@@ -53,25 +54,31 @@ def _windows(text: Column) -> Column:
 
 
 def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, gone): the positions of the lines to remove, for documents that have any."""
-    places = df.select(F.col(key).alias("k"), F.inline(_windows(F.col(text)))).withColumn("place", F.struct("k", F.get("at", F.lit(0)).alias("p")))
+    """(k, ta, tb, gone): the positions of the lines to remove, for documents that have any;
+    a document is its key and the identity of its text."""
+    ta, tb = identity(F.col(text))
+    places = df.select(F.col(key).alias("k"), ta.alias("ta"), tb.alias("tb"), F.inline(_windows(F.col(text)))).select("a", "b", "at", F.struct("k", "ta", "tb", F.get("at", F.lit(0)).alias("p")).alias("place"))
     seen = places.groupBy("a", "b").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(F.col("first") < F.col("last")).select("a", "b", "first")
     later = places.join(seen, ["a", "b"]).where(F.col("first") < F.col("place"))
-    return later.select("k", F.explode("at").alias("p")).groupBy("k").agg(F.collect_set("p").alias("gone")).withColumnRenamed("k", key)
+    return later.select("place.k", "place.ta", "place.tb", F.explode("at").alias("p")).groupBy("k", "ta", "tb").agg(F.collect_set("p").alias("gone"))
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
     """``df`` with the lines removed from its text; with ``counts`` also n_lines and
     n_removed (longs)."""
-    gone, other = fresh(df, "gone", "other")
-    found = removed_lines(df, key, text).select(F.col(key).alias(other), F.col("gone").alias(gone))
-    both = df.join(found, F.col(key).eqNullSafe(F.col(other)), "left")
-    left = F.array_join(F.filter(lines_of(F.col(text)), lambda _, i: ~F.array_contains(gone, i)), "\n")
-    out = both.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(left))
+    ta, tb, gone, *other, n_lines, n_removed = fresh(df, "ta", "tb", "gone", "k_", "ta_", "tb_", "n_lines", "n_removed")
+    found = removed_lines(df, key, text).toDF(*other, gone)
+    body = df.withColumns(dict(zip((ta, tb), identity(F.col(text)))))
+    both = body.join(found, F.col(key).eqNullSafe(F.col(other[0])) & (F.col(ta) == F.col(other[1])) & (F.col(tb) == F.col(other[2])), "left")
+    lines = lines_of(F.col(text))
+    stay = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(gone))
+    left = let(lines, lambda ls: F.array_join(F.transform(stay(ls), lambda i: F.get(ls, i)), "\n"))
+    kept = F.when(F.col(gone).isNull(), F.col(text)).otherwise(left)
+    out = [kept.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns]
     if counts:
-        out = both.select(*(F.col(f"`{c}`") for c in df.columns if c != text), F.when(F.col(gone).isNull(), F.col(text)).otherwise(left).alias(text), F.when(F.col(text).isNull(), 0).otherwise(F.size(lines_of(F.col(text)))).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
-        return out.withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
-    return out.drop(gone, other)
+        out.append(F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(n_lines))
+        out.append(F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias(n_removed))
+    return both.select(*out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,14 @@ texts of similarity 0.8 share one of their rarest copies of shingles, a fifth of
 After a few rounds of centres, what shares one, lies apart and can be similar by lengths
 and places is verified as well, so that no pair that shares a bucket is lost.
 
-A class is a component; its id is the least doc_id in it. Texts without words are copies
-only of equal texts; null counts as the empty text. Rows that share a doc_id are one
-document; a null doc_id has the class of its copies, or null. An empty table gives no rows.
+A node is a multiset of shingles, whatever ids its rows have; a class is a component, and its
+id is the least doc_id in it (of any type that can be ordered), null if none has one. Texts
+without words are copies only of equal texts; null counts as the empty text. Every row is a
+document of its own, also where rows share a doc_id or have none. An empty table gives no
+rows.
+
+A node with more than ``HOT_LINKS`` links to verify is sent in as many parts as it takes, so
+that no task gets all links of a centre; the other end's shingles travel once for each link.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize, table
+from .common import fresh, identity, materialize, scratch, table
 from .decontaminate import similarity
 from .graph import components
 from .hashing import blocks, mix, shingles, words
@@ -52,6 +57,8 @@ STAR_ROUNDS = 2
 
 #: Ids of texts to compare are broadcast up to this number, and joined by shuffle beyond.
 BROADCAST_IDS = 1_000_000
+#: Links of a node that are verified in one part.
+HOT_LINKS = 64
 
 _COPY, _CELL, _DART = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)  # odd multipliers (fixed values)
 _POISSON = np.cumsum([np.exp(-1) / np.prod(np.arange(1, i + 1, dtype=float)) for i in range(16)])
@@ -154,11 +161,24 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype="float64")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A materialized table, broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose exact similarity is high enough."""
-    one = pairs.join(sets.withColumnRenamed("k", "u"), "u").withColumnRenamed("s", "su")
-    both = one.join(sets.withColumnRenamed("k", "v"), "v")
-    return both.withColumn("x", _similar("su", "s")).where(F.col("x") >= SIMILARITY).select("u", "v")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    hot = _small(materialize(ends.where(F.col("n") > HOT_LINKS).select("h", F.expr(f"n div {HOT_LINKS} + 1").alias("parts")), "hot"))
+    for side in ("u", "v"):
+        pairs = pairs.join(hot.select(F.col("h").alias(side), F.col("parts").alias(f"p{side}")), side, "left")
+    first = F.coalesce("pu", F.lit(1)) >= F.coalesce("pv", F.lit(1))  # which end has more links
+    centre, other = F.when(first, F.col("u")).otherwise(F.col("v")), F.when(first, F.col("v")).otherwise(F.col("u"))
+    part = F.pmod(F.xxhash64(other), F.coalesce(F.greatest("pu", "pv"), F.lit(1)))
+    links = pairs.select("u", "v", centre.alias("c"), other.alias("o"), part.alias("part"))
+    parts = sets.join(hot, F.col("k") == F.col("h"), "left").select(F.col("k").alias("c"), F.col("s").alias("sc"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    both = links.join(sets.withColumnRenamed("k", "o"), "o").join(parts, ["c", "part"])
+    return both.withColumn("x", _similar("sc", "s")).where(F.col("x") >= SIMILARITY).select("u", "v")
 
 
 def _rarity(sets: DataFrame) -> np.ndarray:
@@ -208,7 +228,7 @@ def _possible(left: Column, sizes: Column) -> Column:
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    return materialize(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links)), "roots")
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links))
 
 
 def _rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
@@ -245,41 +265,74 @@ def _missed(places: DataFrame, roots: DataFrame, sets: DataFrame, pairs: DataFra
     return _merged(roots, _verified(materialize(tried.join(done, ["u", "v"], "left_anti"), "missed"), sets))
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, class_id) for every row of ``docs``."""
-    signed = materialize(docs.select(F.col(key).alias("k"), _signed(F.col(text)).alias("x")).select("k", "x.*"), "signed")
-    nodes = materialize(signed.groupBy("fa", "fb").agg(F.min("k").alias("k")), "nodes")
-    heads = signed.join(nodes.select("fa", "fb", F.col("k").alias("head")), ["fa", "fb"]).where(F.col("k") == F.col("head"))
-    places = heads.select("k", F.explode("bands").alias("band")).distinct()
+def _nodes(signed: DataFrame) -> DataFrame:
+    """(k, fa, fb, key, ta, tb, ck, bands): a number for each multiset, the least key of its
+    rows, one of its texts (with that row's key), and its bands."""
+    row = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("ck"), "ta", "tb")
+    one = signed.groupBy("fa", "fb").agg(F.min("key").alias("key"), F.min(row).alias("row"), F.first("bands").alias("bands"))
+    return materialize(one.select(F.monotonically_increasing_id().alias("k"), "fa", "fb", "key", "row.ck", "row.ta", "row.tb", "bands"), "nodes")
+
+
+def _linked(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of every node that is not the least of its component."""
+    places = nodes.select("k", F.explode("bands").alias("band")).distinct()
     order = F.struct(F.xxhash64("k", F.lit(5)).alias("h"), F.col("k"))
     stars = places.groupBy("band").agg(F.min("k").alias("c"), F.max("k").alias("most"), F.min(order).alias("o")).where(F.col("c") < F.col("most")).select("band", F.array_distinct(F.array("c", "o.k")).alias("centres"))
     tried = places.join(stars, "band").select("k", F.explode("centres").alias("c")).where(F.col("k") != F.col("c"))
     pairs = materialize(tried.select(F.greatest("k", "c").alias("u"), F.least("k", "c").alias("v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")), "pairs")
-    wanted = materialize(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "w"), "wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    once = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(wanted, F.col("k") == F.col("w")).select("k", _shingled("t").alias("s"))
-    sets = materialize(once.groupBy("k").agg(F.min("s").alias("s")), "sets")
-    best = pairs.groupBy("u").agg(F.max(F.struct("n", F.negative("v").alias("v"))).alias("b")).select("u", F.negative("b.v").alias("v"))
-    sure = materialize(_verified(best, sets), "sure")
-    roots = components(sure)
+    ends = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "k")
+    wanted = _small(materialize(nodes.select("k", "ck", "ta", "tb").join(ends, "k"), "wanted").withColumnsRenamed({"ta": "wa", "tb": "wb"}))
+    once = texts.join(wanted, (F.col("a") == F.col("wa")) & (F.col("b") == F.col("wb")) & F.col("key").eqNullSafe(F.col("ck"))).select("k", _shingled("t").alias("s"))
+    sets = materialize(once.groupBy("k").agg(F.first("s").alias("s")), "sets")  # rows may be repeated
+    best = pairs.groupBy("u").agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("b")).select("u", "b.v")
+    best = materialize(best, "best")
+    roots = components(materialize(_verified(best, sets), "sure"))
     rest = pairs.join(best, ["u", "v"], "left_anti").select("u", "v")
     for side in ("u", "v"):
         rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-    apart = rest.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-    more = _verified(apart, sets)
-    starred = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
-    final = _missed(places, starred, sets, pairs)
-    member = signed.join(nodes.select("fa", "fb", F.col("k").alias("head")), ["fa", "fb"], "left").select(F.col("k"), "head")
-    found = member.join(final, F.col("head") == F.col("node"), "left")
-    return found.select(F.col("k").alias(key), F.coalesce("root", "head").alias("class_id"))
+    apart = materialize(rest.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"), "apart")
+    starred = _merged(roots, _verified(apart, sets))
+    return _missed(places, starred, sets, pairs)
+
+
+def _grouped(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Materialized tables (fa, fb, class_id, ck, ta, tb): of each multiset its class, and
+    the row (key and text) that stands for the class; and (key, ta, tb, fa, fb, bands): the
+    rows' texts and multisets."""
+    a, b = identity(F.col(text))
+    texts = docs.select(F.col(key).alias("key"), a.alias("a"), b.alias("b"), F.col(text).alias("t"))
+    signed = materialize(texts.select("key", F.col("a").alias("ta"), F.col("b").alias("tb"), _signed("t").alias("x")).select("key", "ta", "tb", "x.*"), "signed")
+    nodes = _nodes(signed)
+    roots = _linked(nodes, texts)
+    rooted = nodes.join(roots, F.col("k") == F.col("node"), "left").select("fa", "fb", "key", F.struct(F.col("ck").isNull().alias("none"), "ck", "ta", "tb").alias("row"), F.coalesce("root", "k").alias("root"))
+    heads = rooted.groupBy("root").agg(F.min("key").alias("class_id"), F.min("row").alias("head"))
+    return materialize(rooted.select("fa", "fb", "root").join(heads, "root").select("fa", "fb", "class_id", "head.ck", "head.ta", "head.tb"), "classes"), signed
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class_id) for every row of ``docs``; a key of that name gets the class as
+    _class_id."""
+    with scratch(docs.sparkSession) as keep:
+        group, signed = _grouped(docs, key, text)
+        keep += [group, signed]
+    (name,) = fresh(docs.select(key), "class_id")
+    return signed.select(F.col("key"), "fa", "fb").join(group, ["fa", "fb"]).select(F.col("key").alias(key), F.col("class_id").alias(name))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without all but one document of each class; rows without a key stay."""
-    (other,) = fresh(docs, "other")
-    gone = classes(docs, key, text).where(F.col(key) != F.col("class_id")).select(F.col(key).alias(other)).distinct()
-    return docs.join(gone, F.col(key) == F.col(other), "left_anti")
+    """``docs`` without all but one document of each class: that of the least key (a row
+    without key only if none has one), then of least text hash. Rows that repeat both key
+    and text are one document and stay or go together."""
+    with scratch(docs.sparkSession) as keep:
+        group, signed = _grouped(docs, key, text)
+        same = F.col("key").eqNullSafe(F.col("ck")) & (F.col("sa") == F.col("ta")) & (F.col("sb") == F.col("tb"))
+        rows = signed.select("key", "fa", "fb", F.col("ta").alias("sa"), F.col("tb").alias("sb")).join(group, ["fa", "fb"])
+        gone = materialize(rows.where(~same).select("key", "sa", "sb").distinct(), "gone")
+        keep.append(gone)
+    a, b, *other = fresh(docs, "a", "b", "gone_key", "gone_a", "gone_b")
+    body = docs.withColumns(dict(zip((a, b), identity(F.col(text)))))
+    met = F.col(key).eqNullSafe(F.col(other[0])) & (F.col(a) == F.col(other[1])) & (F.col(b) == F.col(other[2]))
+    return body.join(gone.toDF(*other), met, "left_anti").drop(a, b)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

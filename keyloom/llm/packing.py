@@ -9,11 +9,14 @@ often as the counts allow, which is what the search would return again and again
 thus described by a few thousand patterns however many there are.
 
 Pieces then find their place by arithmetic: a piece's rank among those of its length says
-which pattern, bin and place it gets. Ranks are counted in hashed groups whose number
-follows the number of pieces, so that a length which a third of all pieces share is spread.
+which pattern, bin and place it gets. Ranks are counted in hashed groups of about
+``GROUP_ROWS`` pieces of one length, so that a length which a third of all pieces share is
+spread and a rare one has a single group.
 
 Nulls and empty texts are documents of the end id alone. Repeated rows are packed as often
-as they occur. An empty table gives no rows.
+as they occur, and spread by the order in which they were written. Ids may be of any type,
+null and shared ones included. An empty table gives no rows. Other columns of ``pack``'s
+table are carried as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize, table
+from .common import fresh, materialize, scratch, table
 
 CAPACITY = 2048
 END_ID = 0
@@ -124,39 +127,45 @@ def places(made: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int,
     return rows
 
 
-def pack(cut: DataFrame, by: list[str], capacity: int = CAPACITY) -> DataFrame:
+def pack(cut: DataFrame, by: list[str], capacity: int = CAPACITY, keep: list[DataFrame] | None = None) -> DataFrame:
     """``cut`` (with a long column ``length`` from 1 to ``capacity``) with sequence_id and
-    offset. ``by``: the columns that order equal lengths."""
+    offset. ``by``: the columns that order equal lengths. The table that the result reads is
+    put into ``keep``."""
     spark = cut.sparkSession
-    cut = materialize(cut, "pieces")
-    salt, rank, at = fresh(cut, "salt", "rank", "at")
+    row, salt, rank, at, groups, spots, spot, sequence, offset = fresh(cut, "row", "salt", "rank", "at", "groups", "spots", "spot", "sequence_id", "offset")
+    in_order = [F.col(f"`{c}`") for c in cut.columns]
+    cut = materialize(cut.withColumn(row, F.shiftright(F.monotonically_increasing_id(), 10)), "pieces")
+    if keep is not None:
+        keep.append(cut)
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
-    groups = max(64, sum(counts.values()) // GROUP_ROWS)
-    spread = cut.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(groups)))
-    before = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = spread.groupBy("length", salt).count()
-    bases = sizes.select("length", salt, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(at))
-    ranked = spread.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy(*by)) - 1)
-    ranked = ranked.join(bases, ["length", salt]).withColumn(rank, F.col(rank) + F.col(at)).drop(at, salt)
-    # One row for each length, so the table is bounded by the capacity.
-    kind = "length long, _spots array<struct<lo:long,hi:long,bin:long,k:long,offset:long>>"
     by_length: dict[int, list[tuple]] = {}
     for n, *rest in places(plan(counts, capacity)):
         by_length.setdefault(n, []).append(tuple(rest))
-    spots = F.broadcast(spark.createDataFrame(sorted(by_length.items()), kind))
-    spot = F.element_at(F.filter("_spots", lambda s: (s.lo <= F.col(rank)) & (F.col(rank) < s.hi)), 1)
-    in_order = [c for c in cut.columns]
-    placed = ranked.join(spots, "length").withColumn("_spot", spot)
-    step = F.col(rank) - F.col("_spot.lo")
+    # One row for each length, so the table is bounded by the capacity.
+    kind = f"length long, {groups} long, {spots} array<struct<lo:long,hi:long,bin:long,k:long,offset:long>>"
+    plans = F.broadcast(spark.createDataFrame([(n, counts[n] // GROUP_ROWS + 1, s) for n, s in sorted(by_length.items())], kind))
+    spread = cut.join(plans.select("length", groups), "length").withColumn(salt, F.pmod(F.xxhash64(*by, row), F.col(groups))).drop(groups)
+    ranked = spread.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy(*by)).cast("long") - 1)
+    before = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = spread.groupBy("length", salt).count()
+    bases = sizes.select("length", salt, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(at))
+    ranked = ranked.join(bases, ["length", salt]).withColumn(rank, F.col(rank) + F.col(at))
+    placed = ranked.join(plans.select("length", spots), "length").withColumn(spot, F.element_at(F.filter(spots, lambda s: (s.lo <= F.col(rank)) & (F.col(rank) < s.hi)), 1))
+    step, k = F.col(rank) - F.col(f"{spot}.lo"), F.col(f"{spot}.k")
+    nth = step % k
     return placed.select(
-        *(F.col(f"`{c}`") for c in in_order),
-        (F.col("_spot.bin") + F.expr(f"({rank} - _spot.lo) div _spot.k")).alias("sequence_id"),
-        (F.col("_spot.offset") + step % F.col("_spot.k") * F.col("length")).alias("offset"),
+        *in_order,
+        (F.col(f"{spot}.bin") + ((step - nth) / k).cast("long")).alias(sequence),
+        (F.col(f"{spot}.offset") + nth * F.col("length")).alias(offset),
     )
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    return pack(pieces(docs.select("doc_id", "text"), tokenizer, capacity=capacity), ["doc_id", "piece", "start", "ids_crc32"], capacity)
+def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, piece, start, length, ids_crc32, sequence_id, offset) for each piece."""
+    body = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    with scratch(docs.sparkSession) as keep:
+        made = pack(pieces(body, tokenizer, capacity=capacity), ["doc_id", "piece", "start", "ids_crc32"], capacity, keep)
+    return made.withColumnRenamed("doc_id", key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

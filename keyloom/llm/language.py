@@ -7,11 +7,15 @@ and takes the codeword with the least; the softmax of the negative losses is the
 lead of less than ``AMBIGUOUS`` over the second is flagged.
 
 The classifiers learn from about ``SAMPLE_PER_LANGUAGE`` labelled documents of each language
-at most, chosen by a hash of doc_id among those that are not held out. The model is a table
-of fixed size; scoring reads each whole text once and shuffles nothing.
+at most, and ``SAMPLE`` in all, chosen by a hash of doc_id and text among those that are not
+held out; rows that repeat both are learned once. The executors turn whole texts into
+histograms, and only these reach the driver. The model is a table of fixed size; scoring
+reads each whole text once and shuffles nothing.
 
 Null texts and texts without any letter are ``und`` with score 0. Without any labelled row
-every text is ``und``. Repeated rows get the same answer each.
+every text is ``und``. Rows without doc_id count as held out. Repeated rows get the same
+answer each, and of languages that are equally near the first by name. Other columns are
+carried as they are.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import types as T
 from .common import fresh, held_out, table
 from .hashing import blocks
 
-SAMPLE_PER_LANGUAGE = 400
+SAMPLE_PER_LANGUAGE, SAMPLE = 400, 8000
 AMBIGUOUS = 0.02
 UNKNOWN = "und"
 BUCKETS = 1 << 13
@@ -38,6 +42,7 @@ EXHAUSTIVE = 5
 
 _CLASS = np.full(256, 32, np.uint8)
 _CLASS[[*range(97, 123), *range(128, 256)]] = [*range(97, 123), *range(128, 256)]
+_HISTOGRAM = T.StructType([T.StructField("at", T.BinaryType()), T.StructField("share", T.BinaryType())])
 _ANSWER = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
 
 
@@ -77,16 +82,17 @@ def has_letter(text: str | None) -> bool:
 class Codes:
     """Languages, their codewords, and a linear classifier for each bit."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
+    def __init__(self, found: list[tuple[np.ndarray, np.ndarray]], langs: list[str]):
+        """From (buckets, shares) of each text, and their languages."""
         self.langs = sorted(set(langs))
         self.code = codewords(len(self.langs)) if self.langs else np.zeros((0, 0))
         bits = self.code.shape[1]
         self.weight, self.bias, self.trust = np.zeros((BUCKETS, bits)), np.zeros(bits), np.ones(bits)
         if len(self.langs) < 2:
             return
-        x, y = np.zeros((len(texts), BUCKETS), np.float32), np.array([self.langs.index(k) for k in langs])
-        for i, h in histograms(texts):
-            x[i] = h * SCALE
+        x, y = np.zeros((len(found), BUCKETS), np.float32), np.array([self.langs.index(k) for k in langs])
+        for i, (at, share) in enumerate(found):
+            x[i, at] = share * SCALE
         target = self.code[y].astype(np.float32)
         balance = (1 / np.bincount(y, minlength=len(self.langs)))[y][:, None].astype(np.float32) / len(self.langs)
         w, b = np.zeros((BUCKETS, bits), np.float32), np.zeros(bits, np.float32)
@@ -115,17 +121,30 @@ class Codes:
         return out
 
 
-def sample(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[list[str], list[str]]:
-    """Texts and languages to learn from."""
-    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(F.col(key)), F.lit(True)))
-    sizes = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}  # a row for each language
+@F.pandas_udf(_HISTOGRAM)
+def _histogram(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for series in parts:
+        out = [(b"", b"")] * len(series)
+        for i, h in histograms(series.tolist()):
+            at = np.flatnonzero(h)
+            out[i] = at.astype(np.int32).tobytes(), h[at].astype(np.float32).tobytes()
+        yield pd.DataFrame(out, columns=["at", "share"])
+
+
+def sample(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
+    """Histograms and languages to learn from."""
+    known = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("lang")).where("lang IS NOT NULL AND t IS NOT NULL").where(~held_out(F.col("k")))
+    different = F.approx_count_distinct(F.xxhash64("k", "t"))
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").agg(different).collect()}  # a row for each language
     if not sizes:
         return [], []
-    part = F.pmod(F.xxhash64(F.col(key), F.lit(8)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    most = F.element_at(F.create_map(*(x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(SAMPLE_PER_LANGUAGE / n)))), F.col(lang))
-    rows = known.where(part < most).select(key, text, lang).collect()
-    rows.sort(key=lambda r: (r[0], r[1]))
-    return [r[1] for r in rows], [r[2] for r in rows]
+    each = min(SAMPLE_PER_LANGUAGE, SAMPLE / len(sizes))
+    part = F.pmod(F.xxhash64("k", "t", F.lit(8)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    most = F.element_at(F.create_map(*(x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(each / n)))), F.col("lang"))
+    chosen = known.where(part < most).dropDuplicates(["k", "t", "lang"])
+    rows = chosen.select("lang", F.xxhash64("k", "t").alias("order"), _histogram("t").alias("h")).select("lang", "order", "h.*").collect()  # at most about SAMPLE rows
+    rows.sort(key=lambda r: (r["lang"], r["order"], bytes(r["at"])))
+    return [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32)) for r in rows], [r["lang"] for r in rows]
 
 
 def identify(df: DataFrame, model: Codes, text: str = "text") -> tuple[DataFrame, str]:

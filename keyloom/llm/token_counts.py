@@ -5,13 +5,17 @@ character never merges across the start of a word, so
 
     count(prefix up to word j) = count(prefix up to word j - 1) + count(word j)
 
-is exact. Inside a word the count at each character follows from the same kind of
+is exact; the program stores these counts at every word's end, and the count of a text is the
+last of them. Inside a word the count at each character follows from the same kind of
 recurrence: the encoding of a prefix is the encoding of a shorter prefix plus one last
 piece, and that holds for a piece exactly if the pair (last piece so far, piece) stays as
-it is when both are encoded together. ``PrefixCounter`` stores these counts per word, and
-sums them per text; truncation and budget questions then need no further encoding.
+it is when both are encoded together. The stored counts answer what a prefix costs
+(``at``) and how much of a text fits a budget (``cut``) without encoding anything again;
+``prefix_counts`` writes them out as a column, from which ``tokens_before`` answers with
+DataFrame functions alone.
 
 Nulls count as the empty text, which has no tokens. Texts of any length are counted whole.
+Repeated rows are counted each. A new column whose name is taken gets an underscore.
 """
 
 from __future__ import annotations
@@ -22,11 +26,11 @@ from itertools import accumulate
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import fresh, table
 
 MARK = "▁"
 #: Words kept in a Python worker before its store starts anew.
@@ -76,15 +80,15 @@ class PrefixCounter:
         return text.split(" ")
 
     def count(self, text: str | None) -> int:
-        return sum(map(self.words.__getitem__, self.split(text))) if text else 0
+        return self.at_words(text)[1][-1] if text else 0
 
-    def at_words(self, text: str) -> tuple[list[int], list[int]]:
-        """(end of each word in characters, tokens up to there)."""
+    def at_words(self, text: str | None) -> tuple[list[int], list[int]]:
+        """(end of each word in characters, tokens up to there): the stored prefix counts."""
         if not text:
             return [], []
         words = self.split(text)
-        ends = list(accumulate(len(w) + 1 for w in words))
-        return [e - 1 for e in ends], list(accumulate(map(self.words.__getitem__, words)))
+        ends = list(accumulate(map(len, words), lambda end, n: end + n + 1))
+        return ends, list(accumulate(map(self.words.__getitem__, words)))
 
     def inside(self, word: str) -> list[int]:
         """Tokens of ``mark + word[:i]`` for i from 0 to the word's length."""
@@ -123,11 +127,11 @@ class PrefixCounter:
         out = self.model.encode("\0" + s, out_type=str)
         return out[out.index("<0x00>") + 1 :]
 
-    def at(self, text: str, n_chars: int) -> int:
-        """Tokens of ``text[:n_chars]``."""
+    def at(self, text: str, n_chars: int, stored: tuple[list[int], list[int]] | None = None) -> int:
+        """Tokens of ``text[:n_chars]``, from its ``at_words``."""
         if not text or n_chars <= 0:
             return 0
-        ends, counts = self.at_words(text)
+        ends, counts = stored or self.at_words(text)
         if n_chars >= len(text):
             return counts[-1]
         k = bisect_right(ends, n_chars - 1)
@@ -136,12 +140,13 @@ class PrefixCounter:
             return before
         return before + self.inside(self.split(text)[k])[n_chars - start]
 
-    def cut(self, text: str, budget: int) -> int:
+    def cut(self, text: str, budget: int, stored: tuple[list[int], list[int]] | None = None) -> int:
         """The most characters from the start of ``text`` that ``budget`` tokens hold
-        (the count can fall as a prefix grows; the longest fitting prefix is meant)."""
+        (the count can fall as a prefix grows; the longest fitting prefix is meant), from
+        its ``at_words``."""
         if not text:
             return 0
-        ends, counts = self.at_words(text)
+        ends, counts = stored or self.at_words(text)
         if counts[-1] <= budget:
             return len(text)
         words, best = self.split(text), 0
@@ -169,26 +174,58 @@ def counter(model_path: str) -> PrefixCounter:
     return _counters[model_path]
 
 
+_ANSWER = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("fits_chars", T.LongType())])
+_PREFIXES = T.StructType([T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("tokens", T.ArrayType(T.LongType()))])
+
+
 def token_counts(df: DataFrame, model_path: str, text: str = "text", limit: int = TOKEN_LIMIT) -> DataFrame:
-    """``df`` with n_bytes, n_tokens and over_limit (a name that is taken is replaced)."""
+    """``df`` with n_bytes, n_tokens, over_limit, and fits_chars: how many characters of the
+    text ``limit`` tokens hold."""
 
-    @F.pandas_udf(T.LongType())
-    def n_tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = counter(model_path).count
+    @F.pandas_udf(_ANSWER)
+    def answer(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = counter(model_path)
         for texts in parts:
-            yield pd.Series([count(t) for t in texts], dtype="int64")
-
+            rows = []
+            for t in texts:
+                stored = c.at_words(t)
+                n = stored[1][-1] if t else 0
+                rows.append((n, len(t or "") if n <= limit else c.cut(t, limit, stored)))
+            yield pd.DataFrame(rows, columns=["n_tokens", "fits_chars"])
+
+    got, n_bytes, n_tokens, over, fits = fresh(df, "got", "n_bytes", "n_tokens", "over_limit", "fits_chars")
     body = F.coalesce(F.col(text), F.lit(""))
-    return (
-        df.withColumn("n_bytes", F.octet_length(body).cast("long"))
-        .withColumn("n_tokens", n_tokens(F.col(text)))
-        .withColumn("over_limit", F.col("n_tokens") > limit)
+    return df.withColumn(got, answer(F.col(text))).select(
+        *(F.col(f"`{c}`") for c in df.columns),
+        F.octet_length(body).cast("long").alias(n_bytes),
+        F.col(f"{got}.n_tokens").alias(n_tokens),
+        (F.col(f"{got}.n_tokens") > limit).alias(over),
+        F.col(f"{got}.fits_chars").alias(fits),
     )
 
 
+def prefix_counts(df: DataFrame, model_path: str, text: str = "text") -> tuple[DataFrame, str]:
+    """``df`` with one column more, and its name: struct of ``ends``, the characters up to
+    each word's end, and ``tokens``, the tokens up to there (both empty without text)."""
+
+    @F.pandas_udf(_PREFIXES)
+    def stored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = counter(model_path)
+        for texts in parts:
+            yield pd.DataFrame([c.at_words(t) for t in texts], columns=["ends", "tokens"])
+
+    (name,) = fresh(df, "prefixes")
+    return df.withColumn(name, stored(F.col(text))), name
+
+
+def tokens_before(prefixes: Column, n_chars: Column) -> Column:
+    """Tokens of the whole words that end within the first ``n_chars`` characters."""
+    return F.coalesce(F.get(prefixes.tokens, F.size(F.filter(prefixes.ends, lambda e: e <= n_chars)) - 1), F.lit(0).cast("long"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token count under piece_bpe_32k.model."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts(docs, public_tokenizers.path(MODEL)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return token_counts(docs, public_tokenizers.path(MODEL)).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars")

@@ -2,7 +2,10 @@
 
 A text's terms are its words and their prefixes, so that inflected forms share some, hashed
 into ``BUCKETS``. Of these the machine uses the ``MAX_TERMS`` at most whose presence goes
-with the label beyond ``LEAST_Z`` standard deviations. Its score is
+with the label beyond ``LEAST_Z`` standard deviations, and terms that tell nothing alone but
+in pairs: of the ``PAIR_TERMS`` most frequent ones that half of the sample at most holds, those
+of the ``MAX_PAIRS`` at most whose common presence goes with the label beyond ``PAIR_Z``
+standard deviations, and further than either's own. Its score is
 
     sigmoid(bias + sum of w[i] + sum over pairs of <v[i], v[j]>)
 
@@ -10,12 +13,13 @@ over the terms that a text holds, so pairs count for more, or for less, than the
 
 It learns from a bounded sample: about ``SAMPLE_EACH`` labelled documents of either label,
 chosen by a hash of doc_id among those that are not held out, and weighted so that both
-labels keep their shares. The sample is broadcast to the one scan that finds its texts;
-documents are never shuffled, and each whole text is read for its score.
+labels keep their shares. Of several labels of a doc_id the greatest counts, and of several
+texts the one of least hash. The sample is broadcast to the one scan that finds its texts;
+the other documents are never shuffled, and each whole text is read for its score.
 
-Null and empty texts hold no terms and get the bias alone. Null labels are left out. Without
-labels of both kinds the bias is the share of toxic labels (0 without any). Repeated rows
-score alike.
+Null and empty texts hold no terms and get the bias alone. Null labels are left out, and rows
+without doc_id count as held out. Without labels of both kinds the bias is the share of toxic
+labels (0 without any). Repeated rows score alike. Other columns are carried as they are.
 """
 
 from __future__ import annotations
@@ -28,13 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, held_out, materialize, table
+from .common import fresh, held_out, materialize, scratch, table
 from .hashing import blocks, words_and_prefixes
 
 SAMPLE_EACH = 6000
 BUCKETS = 1 << 22
 PREFIXES = (4, 5, 6, 7)
 MAX_TERMS, LEAST_Z, LEAST_TEXTS = 4096, 3.5, 3
+PAIR_TERMS, MAX_PAIRS, PAIR_Z, LEAST_PAIRS = 512, 256, 6.0, 10
 FACTORS, ROUNDS, RATE, DECAY = 4, 300, 0.05, 2e-4
 
 
@@ -108,35 +113,70 @@ def _distinct_terms(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Machine:
-    """A machine for (doc_id, text) and (doc_id, toxic)."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
+def telling_pairs(text: np.ndarray, term: np.ndarray, label: np.ndarray, m: int) -> np.ndarray:
+    """Those of ``m`` terms that tell more of the label in a pair than alone."""
+    held = np.zeros((len(label), m), np.float32)
+    held[text, term] = 1
+    rate = label.mean()
+    n, pos = held.T @ held, held[label == 1].T @ held[label == 1]
+    z = np.abs(pos - rate * n) / np.sqrt(np.maximum(n, 1) * rate * (1 - rate))
+    alone = np.diag(z)
+    z[(n < LEAST_PAIRS) | (z < PAIR_Z) | (z <= np.maximum(alone[:, None], alone[None, :]))] = 0
+    i, j = np.nonzero(np.triu(z, 1))
+    top = np.argsort(-z[i, j], kind="stable")[:MAX_PAIRS]
+    return np.union1d(i[top], j[top])
+
+
+def _sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame | None, dict[int, int]]:
+    """A materialized table (doc_id, toxic, terms) to learn from, and the count of each label."""
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}  # two rows
-    total = sum(sizes.values())
     if len(sizes) < 2:
-        share = sizes.get(1, 0) / max(total, 1)
-        return Machine(np.empty(0, np.int64), float(np.log((share + 1e-3) / (1 - share + 1e-3))) if total else -6.0)
+        return None, sizes
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     take = F.when(F.col("toxic") == 1, F.lit(SAMPLE_EACH / sizes[1])).otherwise(F.lit(SAMPLE_EACH / sizes[0]))
     chosen = F.broadcast(known.where(part < take))  # about 2 * SAMPLE_EACH rows
-    sample = materialize(docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "toxic", _distinct_terms("text").alias("terms")), "sample")
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return materialize(texts.select("doc_id", "toxic", _distinct_terms("text").alias("terms")), "sample"), sizes
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Machine:
+    """A machine for (doc_id, text) and (doc_id, toxic)."""
+    with scratch(docs.sparkSession):
+        return _learned(*_sampled(docs, labels))
+
+
+def _learned(sample: DataFrame | None, sizes: dict[int, int]) -> Machine:
+    total = sum(sizes.values())
+    if sample is None:
+        share = sizes.get(1, 0) / max(total, 1)
+        return Machine(np.empty(0, np.int64), float(np.log((share + 1e-3) / (1 - share + 1e-3))) if total else -6.0)
+    bias = float(np.log(sizes[1] / sizes[0]))
     n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if len(n) < 2:
-        return Machine(np.empty(0, np.int64), float(np.log(sizes[1] / sizes[0])))
+        return Machine(np.empty(0, np.int64), bias)
     rate = n[1] / sum(n.values())
     seen = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("pos"))
     z = F.abs(F.col("pos") - rate * F.col("n")) / F.sqrt(F.col("n") * rate * (1 - rate))
-    best = seen.where(F.col("n") >= LEAST_TEXTS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
-    machine = Machine(np.array(sorted(r["term"] for r in best), np.int64), float(np.log(sizes[1] / sizes[0])))
-    if not best:
-        return machine
-    wanted = F.array(*(F.lit(int(b)) for b in machine.buckets)) if len(best) <= 64 else F.from_json(F.lit(str(machine.buckets.tolist())), "array<int>")
+    seen = materialize(seen.where(F.col("n") >= LEAST_TEXTS).withColumn("z", z), "terms")
+    best = [r["term"] for r in seen.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()]
+    common = [r["term"] for r in seen.where((F.col("n") >= LEAST_PAIRS) & (F.col("n") <= sum(n.values()) / 2)).orderBy(F.desc("n"), "term").limit(PAIR_TERMS).collect()]
+    buckets = np.array(sorted({*best, *common}), np.int64)
+    if not len(buckets):
+        return Machine(buckets, bias)
+    wanted = F.from_json(F.lit(str(buckets.tolist())), "array<int>")
     rows = sample.select("doc_id", "toxic", F.array_sort(F.array_intersect("terms", wanted)).alias("terms")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["terms"]))
     label = np.array([r["toxic"] for r in rows], float)
     text = np.repeat(np.arange(len(rows)), [len(r["terms"]) for r in rows])
-    term = np.searchsorted(machine.buckets, np.array([b for r in rows for b in r["terms"]], np.int64))
-    machine.fit(text, term, label, np.where(label == 1, sizes[1] / n[1], sizes[0] / n[0]))
+    term = np.array([b for r in rows for b in r["terms"]], np.int64)
+    pairable = np.array(sorted(common), np.int64)
+    both = np.isin(term, pairable)
+    paired = pairable[telling_pairs(text[both], np.searchsorted(pairable, term[both]), label, len(pairable))]
+    machine = Machine(np.array(sorted({*best, *paired.tolist()}), np.int64), bias)
+    used = np.isin(term, machine.buckets)
+    if used.any():
+        machine.fit(text[used], np.searchsorted(machine.buckets, term[used]), label, np.where(label == 1, sizes[1] / n[1], sizes[0] / n[0]))
     return machine
 
 

@@ -7,8 +7,9 @@ texts, so copies of one text count once. A line is above the limit when more tha
 lines are removed, and a document is depleted, hence rejected, when less than ``LEFT_SHARE``
 of its words remain.
 
-Null texts have no words and fail the base rules. Rows that repeat a doc_id are judged each
-by its own text. An empty table gives no rows. A third of all rows in one host is no hot
+Null texts have no words and fail the base rules. Rows that share a doc_id, or have none, are
+judged each by its own text, and rows that repeat both alike. Ids may be of any type. Other
+columns are not carried. An empty table gives no rows. A third of all rows in one host is no hot
 spot: lines are counted per host and line, and before they are shuffled.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, scratch, table
 from .line_dedup import let, lines_of
 
 LINE_SHARE, LINE_DOCS, LEFT_SHARE = 0.02, 10, 0.3
@@ -63,7 +64,7 @@ def base_counts(text: Column) -> Column:
         lambda ws: F.struct(
             F.size(ws).cast("long").alias("n_words"),
             F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
-            F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            (F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
             lines.cast("long").alias("n_dup_lines"),
             _repeated(ws).cast("long").alias("n_repeat_words"),
         ),
@@ -80,20 +81,22 @@ def _lines(df: DataFrame, host: str, key: str, text: str) -> DataFrame:
     return df.select(F.col(host).alias("host"), F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.inline(F.transform(solid, said)))
 
 
-def frequent_lines(df: DataFrame, host: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(host, line) above the limit."""
-    found = _lines(df, host, key, text)
+def _frequent(found: DataFrame, df: DataFrame, host: str, text: str) -> DataFrame:
+    """(of, at): hosts and their lines above the limit, of the ``_lines`` of ``df``."""
     per_line = found.select("host", "line", "t").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LINE_DOCS)
-    texts = df.select(F.col(host).alias("host"), F.xxhash64(text).alias("t")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    both = per_line.join(texts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
-    return both.where(F.col("n") > LINE_SHARE * F.col("texts")).select("host", "line")
+    texts = df.select(F.col(host).alias("of"), F.xxhash64(text).alias("t")).distinct().groupBy("of").agg(F.count(F.lit(1)).alias("texts"))
+    both = per_line.join(texts, F.col("host").eqNullSafe(F.col("of")))
+    return both.where(F.col("n") > LINE_SHARE * F.col("texts")).select("of", F.col("line").alias("at"))
 
 
 def quality(df: DataFrame, host: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``df``: the key, the counts, base_failed, kept and words_left."""
-    frequent = materialize(frequent_lines(df, host, key, text).withColumnsRenamed({"host": "of", "line": "at"}), "lines")
+    with scratch(df.sparkSession) as keep:
+        found = materialize(_lines(df, host, key, text), "lines")
+        frequent = materialize(_frequent(found, df, host, text), "frequent")
+        keep += [found, frequent]
     side = F.broadcast(frequent) if frequent.count() <= BROADCAST_LINES else frequent
-    hit = _lines(df, host, key, text).join(side, F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("at")))
+    hit = found.join(side, F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("at")))
     once = hit.groupBy("host", "k", "t", "p").agg(F.max("words").alias("words"))  # rows may be repeated
     lost = once.groupBy("host", "k", "t").agg(F.sum("words").alias("lost"))
     own = df.select(F.col(host).alias("own_host"), F.col(key).alias("own_key"), F.xxhash64(text).alias("own_text"), base_counts(F.col(text)).alias("c"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..relations import rank
+from ..relations import firsts
 
 # The grid's limits, its cells along each side, and the earth's radius.
 LON, LAT = 180.0, 85.05112878
@@ -95,7 +95,7 @@ def search(zset: DataFrame, lon: float, lat: float, radius: float | None = None,
     if count is None:
         return got
     by = {"ASC": [F.asc("dist"), F.asc("member")], "DESC": [F.desc("dist"), F.desc("member")], None: [F.asc("score"), F.asc("member")]}[order]
-    return got.withColumn("n", rank(by)).where(F.col("n") < count).drop("n")
+    return firsts(got, by, count).drop("n")
 
 
 def search_around(zset: DataFrame, centres: DataFrame, radius_m: float) -> DataFrame:

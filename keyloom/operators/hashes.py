@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..relations import glob, live, rank
+from ..relations import firsts, glob, live
 
 APPLIED, REFUSED, MISSING = 1, 0, 2
 
@@ -74,14 +74,14 @@ def increment(fields: DataFrame, deltas: DataFrame, now: int, kind: str = "bigin
 
 
 def sample(fields: DataFrame, count: int, now: int, seed: int = 0) -> DataFrame:
-    return live(fields, now).withColumn("n", rank([F.xxhash64("key", "field", F.lit(seed)), F.col("field")])).where(F.col("n") < count).drop("n")
+    return firsts(live(fields, now), [F.xxhash64("key", "field", F.lit(seed)), F.col("field")], count).drop("n")
 
 
 def scan(fields: DataFrame, now: int, after: str = "", count: int = 10, pattern: str | None = None) -> DataFrame:
     got = live(fields, now).where(F.col("field") > after)
     if pattern is not None:
         got = got.where(glob(F.col("field"), pattern))
-    return got.withColumn("n", rank([F.col("field")])).where(F.col("n") < count).drop("n")
+    return firsts(got, [F.col("field")], count).drop("n")
 
 
 def allowed(only: str | None, old: Column, new: Column) -> Column:

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..relations import glob, live, rank
+from ..relations import firsts, glob, live, rank
 from .hashes import allowed
+from .strings import xxh3
 
 KEEP = "keep"
 
@@ -19,12 +20,15 @@ def last(incoming: DataFrame, first: bool = False) -> DataFrame:
     return incoming.groupBy("key").agg((F.min_by if first else F.max_by)("value", "seq").alias("new"))
 
 
-def put(kv: DataFrame, incoming: DataFrame, now: int, only: Column | str | None = None, expires: Column | str | None = None) -> DataFrame:
-    """Upsert ``incoming(key, value, seq)``. ``only``: NX, XX, or a condition on ``value``
-    (the value before, null if missing). ``expires``: a deadline, KEEP, or none.
+def put(kv: DataFrame, incoming: DataFrame, now: int, only: Column | str | tuple[str, str] | None = None, expires: Column | str | None = None) -> DataFrame:
+    """Upsert ``incoming(key, value, seq)``. ``only``: NX, XX, (IFDEQ or IFDNE, hex digest of
+    the value before), or a condition on ``value`` (the value before, null if missing). ``expires``: a deadline, KEEP, or none.
     Result: key, value, expires_at, old_value, applied, written (tried)."""
     both = live(kv, now).withColumn("here", F.lit(True)).join(last(incoming, first=isinstance(only, str) and only == "NX"), "key", "full")
     here, tried = F.col("here").isNotNull(), F.col("new").isNotNull()
+    if isinstance(only, tuple):  # IFDEQ or IFDNE and a digest
+        same = xxh3(F.col("value")) == only[1].lower()
+        only = same if only[0] == "IFDEQ" else ~same
     rule = {"NX": ~here, "XX": here}[only] if isinstance(only, str) else (F.lit(True) if only is None else F.coalesce(only, F.lit(False)))
     take = tried & rule
     until = F.col("expires_at") if isinstance(expires, str) else (F.lit(None).cast("long") if expires is None else expires)
@@ -51,8 +55,12 @@ def get(kv: DataFrame, asked: DataFrame, now: int) -> DataFrame:
     return asked.join(live(kv, now).select("key", "value"), "key", "left")
 
 
-def delete(kv: DataFrame, gone: DataFrame, now: int, where: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(state after, rows that were deleted)."""
+def delete(kv: DataFrame, gone: DataFrame, now: int, where: Column | tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(state after, rows that were deleted). ``where``: a condition on ``value``, or IFDEQ
+    or IFDNE and the hex digest of a value."""
+    if isinstance(where, tuple):
+        same = xxh3(F.col("value")) == where[1].lower()
+        where = same if where[0] == "IFDEQ" else ~same
     left = live(kv, now)
     hit = left.join(gone.select("key").distinct(), "key", "left_semi")
     if where is not None:
@@ -154,10 +162,9 @@ def sort(items: DataFrame, by: DataFrame | None = None, get: list[tuple[str, Dat
         weight = F.coalesce("_weight", F.lit("0"))
     weight = weight.cast("string") if alpha else weight.cast("double")
     order = [F.desc("_by"), F.desc("pos")] if descending else [F.asc("_by"), F.asc("pos")]
-    rows = rows.withColumn("_by", weight).withColumn("rank", rank(order)).where(F.col("rank") >= offset)
-    if count >= 0:
-        rows = rows.where(F.col("rank") < offset + count)
-    out = rows.select("key", "rank", "value")
+    rows = rows.withColumn("_by", weight)
+    rows = firsts(rows, order, offset + count, name="rank") if count >= 0 else rows.withColumn("rank", rank(order))
+    out = rows.where(F.col("rank") >= offset).select("key", "rank", "value")
     for name, found in get:
         out = out.join(found.withColumnRenamed("found", name), "value", "left")
     return out

@@ -6,17 +6,17 @@ least or above the greatest, and indexes are counted when they are asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..relations import rank
+from ..relations import firsts, rank, spread_rank
 
 BY_KEY = ["key"]
 
 
 def indexed(items: DataFrame) -> DataFrame:
     """With ``index`` from the head and ``length``."""
-    return items.withColumn("index", rank([F.col("pos")])).withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    return spread_rank(items, ["pos"], F.col("pos").cast("double"), "index").withColumnRenamed("card", "length")
 
 
 def length(items: DataFrame) -> DataFrame:
@@ -34,8 +34,8 @@ def push(items: DataFrame, new: DataFrame, left: bool = False, existing: bool =
 
 def pop(items: DataFrame, count: int = 1, right: bool = False) -> tuple[DataFrame, DataFrame]:
     """(popped with ``n`` in order, rest)."""
-    got = items.withColumn("n", rank([F.desc("pos") if right else F.asc("pos")]))
-    return got.where(F.col("n") < count), got.where(F.col("n") >= count).drop("n")
+    got = firsts(items, [F.desc("pos") if right else F.asc("pos")], count)
+    return got, items.join(got.select("key", "pos"), ["key", "pos"], "left_anti")
 
 
 def _clamped(start: int, end: int) -> Column:
@@ -47,6 +47,11 @@ def _clamped(start: int, end: int) -> Column:
 
 def slice_of(items: DataFrame, start: int, end: int) -> DataFrame:
     """LRANGE, and LTRIM's new state: inclusive, negative indexes from the tail."""
+    if start >= 0 and end >= 0:
+        return firsts(items, [F.asc("pos")], end + 1, name="index").where(F.col("index") >= start)
+    if start < 0 and end < 0:
+        tail = firsts(items, [F.desc("pos")], -start, name="index").where(F.col("index") >= -end - 1)
+        return tail.join(length(items), "key").withColumn("index", F.col("length") - 1 - F.col("index")).drop("length")
     return indexed(items).where(_clamped(start, end)).drop("length")
 
 
@@ -61,10 +66,14 @@ def put(items: DataFrame, index: int, value: str) -> DataFrame:
 
 
 def insert(items: DataFrame, pivot: str, value: str, after: bool = False) -> DataFrame:
-    """The state with ``value`` next to the first ``pivot`` of each list that has one."""
+    """The state with ``value`` next to the first ``pivot`` of each list that has one; all
+    positions are numbered anew."""
     first = items.where(F.col("value") == pivot).groupBy("key").agg(F.min("pos").alias("at"))
-    spaced = items.select("key", (F.col("pos") * 2).alias("pos"), "value")
-    return spaced.unionByName(first.select("key", (F.col("at") * 2 + (1 if after else -1)).alias("pos"), F.lit(value).alias("value")))
+    numbered = indexed(items).join(first, "key", "left")
+    behind = F.coalesce(F.col("pos") > F.col("at") if after else F.col("pos") >= F.col("at"), F.lit(False))
+    moved = numbered.select("key", (F.col("index") + behind.cast("long")).alias("pos"), "value")
+    new = numbered.where(F.col("pos") == F.col("at")).select("key", (F.col("index") + (1 if after else 0)).alias("pos"), F.lit(value).alias("value"))
+    return moved.unionByName(new)
 
 
 def positions(items: DataFrame, value: str, nth: int = 1, count: int = 1, most: int = 0) -> DataFrame:
@@ -81,11 +90,12 @@ def positions(items: DataFrame, value: str, nth: int = 1, count: int = 1, most:
 
 def remove(items: DataFrame, value: str, count: int = 0) -> DataFrame:
     """The state without the first ``count`` matches (negative: the last ones, 0: all)."""
+    same = F.col("value").eqNullSafe(F.lit(value))
     if not count:
-        return items.where(F.col("value") != value)
+        return items.where(~same)
     order = F.asc("pos") if count > 0 else F.desc("pos")
     n = rank([order], ["key", "value"])
-    return items.withColumn("n", n).where((F.col("value") != value) | (F.col("n") >= abs(count))).drop("n")
+    return items.withColumn("n", n).where(~same | (F.col("n") >= abs(count))).drop("n")
 
 
 def move(items: DataFrame, source, target, from_right: bool = False, to_left: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..relations import glob, rank
+from ..relations import firsts, glob, rank
 
 
 def add(sets: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -36,7 +36,7 @@ def sample(sets: DataFrame, count: int, seed: int = 0) -> DataFrame:
     """``count`` distinct members per key by a seeded hash; a negative count draws that
     many with repetition."""
     if count >= 0:
-        return sets.withColumn("n", rank([F.xxhash64("key", "member", F.lit(seed)), F.col("member")])).where(F.col("n") < count).drop("n")
+        return firsts(sets, [F.xxhash64("key", "member", F.lit(seed)), F.col("member")], count).drop("n")
     numbered = sets.withColumn("n", rank([F.col("member")]))
     draws = card(sets).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(-count)))).withColumn("n", F.pmod(F.xxhash64("key", "draw", F.lit(seed)), F.col("card")))
     return draws.join(numbered, ["key", "n"]).select("key", "draw", "member")
@@ -83,4 +83,4 @@ def scan(sets: DataFrame, after: str = "", count: int = 10, pattern: str | None
     got = sets.where(F.col("member") > after)
     if pattern is not None:
         got = got.where(glob(F.col("member"), pattern))
-    return got.withColumn("n", rank([F.col("member")])).where(F.col("n") < count).drop("n")
+    return firsts(got, [F.col("member")], count).drop("n")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..relations import rank
+from ..relations import firsts, rank
 
 ID = ["ms", "seq"]
 MOST = (1 << 63) - 1
@@ -47,13 +47,13 @@ def between(stream: DataFrame, start: str = "-", end: str = "+", count: int | No
     if count is None:
         return got
     order = [F.desc(c) if reverse else F.asc(c) for c in ID]
-    return got.withColumn("n", rank(order)).where(F.col("n") < count)
+    return firsts(got, order, count)
 
 
 def after(stream: DataFrame, marks: DataFrame, count: int | None = None) -> DataFrame:
     """XREAD: entries of each key with ids greater than ``marks(key, last_ms, last_seq)``."""
     got = stream.join(marks, "key").where(id_of() > F.struct(F.col("last_ms").alias("ms"), F.col("last_seq").alias("seq"))).drop("last_ms", "last_seq")
-    return got if count is None else got.withColumn("n", rank([F.col(c) for c in ID])).where(F.col("n") < count).drop("n")
+    return got if count is None else firsts(got, [F.col(c) for c in ID], count).drop("n")
 
 
 def length(stream: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def trim(stream: DataFrame, longest: int | None = None, least: str | None = None
     """Keep the newest ``longest`` of each key, or ids from ``least`` on (exact trimming)."""
     if least is not None:
         return stream.where(id_of() >= literal(parsed(least, True)))
-    return stream.withColumn("n", rank([F.desc(c) for c in ID])).where(F.col("n") < longest).drop("n")
+    return firsts(stream, [F.desc(c) for c in ID], longest).drop("n")
 
 
 def info(stream: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def deliver(stream: DataFrame, groups: DataFrame, consumer: Column, now: Column
     """XREADGROUP ``>``: (new pending entries, groups moved on)."""
     rows = stream.join(groups, "key").where(id_of() > F.struct(F.col("last_ms").alias("ms"), F.col("last_seq").alias("seq")))
     if count is not None:
-        rows = rows.withColumn("n", rank([F.col(c) for c in ID], ["key", "grp"])).where(F.col("n") < count)
+        rows = firsts(rows, [F.col(c) for c in ID], count, ["key", "grp"])
     pending = rows.select("key", "grp", *ID, consumer.alias("consumer"), (F.lit(now) if isinstance(now, int) else now).cast("long").alias("delivered_at"), F.lit(1).alias("n_delivered"))
     moved = pending.groupBy("key", "grp").agg(F.max(F.struct(*ID)).alias("last"))
     state = groups.join(moved, ["key", "grp"], "left").select("key", "grp", F.coalesce("last.ms", "last_ms").alias("last_ms"), F.coalesce("last.seq", "last_seq").alias("last_seq"))
@@ -114,7 +114,7 @@ def pending_detail(pel: DataFrame, now: int, idle: int = 0, start: str = "-", en
     if consumer is not None:
         got = got.where(F.col("consumer") == consumer)
     got = got.where((id_of() >= literal(parsed(start, True))) & (id_of() <= literal(parsed(end, False))))
-    return got.withColumn("n", rank([F.col(c) for c in ID], ["key", "grp"])).where(F.col("n") < count).drop("n")
+    return firsts(got, [F.col(c) for c in ID], count, ["key", "grp"]).drop("n")
 
 
 def claim(pel: DataFrame, ids: DataFrame, consumer: str, now: int, idle: int = 0, just_id: bool = False) -> DataFrame:

@@ -45,17 +45,17 @@ def append(kv: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def increments(log: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """Replay ``log(key, delta, seq)``: the counter after each step (integers are checked
-    for overflow, floats for NaN and infinity)."""
+    """Replay ``log(key, delta, seq)``: the counter after each step, null from where it
+    overflows on, whatever the other keys do."""
     base = log if start is None else log.join(start.withColumnRenamed("value", "base"), "key", "left")
     first = F.lit(0) if start is None else F.coalesce("base", F.lit(0))
-    running = F.sum("delta").over(Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return base.select("key", "seq", (first + running).alias("value"))
+    running = F.try_sum("delta").over(Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return base.select("key", "seq", F.try_add(first, running).alias("value"))
 
 
 def totals(log: DataFrame) -> DataFrame:
     """The counters at the end, by one aggregation."""
-    return log.groupBy("key").agg(F.sum("delta").alias("value"))
+    return log.groupBy("key").agg(F.try_sum("delta").alias("value"))
 
 
 def plain_number(value: Column) -> Column:

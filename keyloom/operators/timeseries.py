@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..relations import rank
+from ..relations import firsts
 
 #: Aggregators that one hash aggregation computes. TWA needs the sample before.
 AGGREGATORS = {
@@ -76,6 +76,10 @@ def bucket(ts: Column, width: int, align: Column | int = 0) -> Column:
     return ts - F.pmod(ts - at, F.lit(width))
 
 
+#: Empty buckets that one row makes.
+EMPTY_BLOCK = 10_000
+
+
 def aggregate(samples: DataFrame, how: str, width: int, start: int | None = None, end: int | None = None, align: int | None = None, label: str = "start", empty: bool = False) -> DataFrame:
     """(key, ts, value) per bucket that has a value. ``label``: start, mid or end. Buckets
     without samples get NaN with ``empty``, and 0 if they are counted in any case."""
@@ -95,7 +99,10 @@ def aggregate(samples: DataFrame, how: str, width: int, start: int | None = None
         edges = got.groupBy("key").agg(F.min("_bucket").alias("lo"), F.max("_bucket").alias("hi"))
         lo = F.col("lo") if start is None else bucket(F.lit(start).cast("long"), width, F.lit(align if align is not None else start).cast("long"))
         hi = F.col("hi") if end is None else F.lit(end).cast("long")
-        every = edges.select("key", F.explode(F.sequence(lo, hi, F.lit(width).cast("long"))).alias("_bucket"))
+        # In blocks, so that no array grows with the range.
+        block = width * EMPTY_BLOCK
+        spans = edges.select("key", lo.alias("lo"), hi.alias("hi")).withColumn("from", F.explode(F.sequence("lo", "hi", F.lit(block).cast("long"))))
+        every = spans.select("key", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + block - width, "hi"), F.lit(width).cast("long"))).alias("_bucket"))
         got = every.join(got, ["key", "_bucket"], "left").withColumn("value", F.coalesce("value", F.lit(0.0 if how == "count" else float("nan"))))
     shift = {"start": 0, "mid": width // 2, "end": width - 1}[label]
     return got.where(F.col("value").isNotNull()).select("key", (F.col("_bucket") + shift).alias("ts"), "value")
@@ -107,7 +114,7 @@ def range_of(samples: DataFrame, start: int | None = None, end: int | None = Non
     if how:
         got = aggregate(got, how, width, start, end, align, label, empty)
     if count is not None:
-        got = got.withColumn("n", rank([F.desc("ts") if reverse else F.asc("ts")])).where(F.col("n") < count).drop("n")
+        got = firsts(got, [F.desc("ts") if reverse else F.asc("ts")], count).drop("n")
     return got.select("key", "ts", "value")
 
 
@@ -149,3 +156,22 @@ def multi_get(samples: DataFrame, series: DataFrame, *filters: str) -> DataFrame
 def rule(samples: DataFrame, target: Column, how: str, width: int, align: int = 0) -> DataFrame:
     """What a downsampling rule has written to ``target`` (a name made from key)."""
     return aggregate(samples, how, width, align=align).withColumn("key", target)
+
+
+def create_rules(rules: DataFrame) -> DataFrame:
+    """``rules(source, target, how, width)``, one for each pair; a series is no rule's source
+    and target at once."""
+    made = rules.dropDuplicates(["source", "target"])
+    return made.join(made.select(F.col("target").alias("source")).distinct(), "source", "left_anti")
+
+
+def delete_rules(rules: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rules without those of ``gone(source, target)``."""
+    return rules.join(gone.select("source", "target"), ["source", "target"], "left_anti")
+
+
+def apply_rules(samples: DataFrame, rules: DataFrame, how: str, width: int) -> DataFrame:
+    """The target series of all rules of one kind: (key, ts, value) by target."""
+    mine = rules.where((F.col("how") == how) & (F.col("width") == width)).select(F.col("source").alias("key"), "target")
+    got = aggregate(samples.join(mine.select("key").distinct(), "key", "left_semi"), how, width, start=0)
+    return got.join(mine, "key").select(F.col("target").alias("key"), "ts", "value")

@@ -1,8 +1,9 @@
 """Sorted sets: relation ``zset(key, member, score)``, ordered by score, then member.
 
-Ranks within one key need that key's rows in order; where a key may be too large for one
-task, the top-k forms (``pop``, ``range_by_rank`` from either end) keep a bounded
-heap per task first.
+What is asked from either end of a key (``pop``, ``by_rank``, ``page``, ``sample``, ``scan``)
+keeps a bounded number of rows in each task first (``relations.firsts``). Ranks from both
+ends at once, and the ranks of given members, are counted in parts along the score
+(``relations.spread_rank``), so that no task sorts a large key.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..relations import glob, normal, rank
+from ..relations import firsts, glob, normal, spread_rank
 
 UP = ["score", "member"]
 
@@ -58,22 +59,14 @@ def card(zset: DataFrame) -> DataFrame:
 
 
 def ranked(zset: DataFrame, reverse: bool = False) -> DataFrame:
-    return zset.withColumn("rank", rank(order(reverse)))
+    """With rank and card (the key's members)."""
+    return spread_rank(zset, UP, F.col("score"), "rank", reverse)
 
 
 def rank_of(zset: DataFrame, asked: DataFrame, reverse: bool = False) -> DataFrame:
-    """0-based rank of ``asked(key, member)``. Each row finds between which of its key's
-    asked members it lies; the counts of these gaps are aggregated before they are
-    shuffled, and added up. No key's rows need to meet in one task."""
-    mark = F.struct("score", "member").alias("mark")
-    marks = asked.select("key", "member").distinct().join(zset, ["key", "member"]).groupBy("key").agg(F.array_sort(F.collect_list(mark)).alias("marks"))
-    below = lambda m: (m.score < F.col("score")) | ((m.score == F.col("score")) & (m.member <= F.col("member")))
-    gaps = zset.join(marks, "key").withColumn("gap", F.size(F.filter("marks", below))).groupBy("key", "gap").agg(F.count(F.lit(1)).alias("n"))
-    counted = gaps.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("gap", "n"))).alias("n"))
-    each = marks.join(counted, "key").select("key", "n", F.posexplode("marks").alias("i", "mark"))
-    upto = F.aggregate(F.sequence(F.lit(0), F.col("i")), F.lit(0).cast("long"), lambda acc, g: acc + F.coalesce(F.col("n")[g], F.lit(0)))
-    total = F.aggregate(F.map_values("n"), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return each.select("key", F.col("mark.member").alias("member"), F.col("mark.score").alias("score"), (total - 1 - upto if reverse else upto).alias("rank"))
+    """0-based rank and score of ``asked(key, member)``, where they are members."""
+    got = ranked(zset, reverse).join(asked.select("key", "member").distinct(), ["key", "member"])
+    return got.select("key", "member", "score", "rank")
 
 
 def bound(value: str, low: bool) -> Column:
@@ -108,24 +101,26 @@ def by_lex(zset: DataFrame, low: str, high: str) -> DataFrame:
 
 def page(zset: DataFrame, offset: int = 0, count: int = -1, reverse: bool = False) -> DataFrame:
     """``LIMIT offset count`` per key (a negative count: all)."""
-    got = ranked(zset, reverse).where(F.col("rank") >= offset)
-    return got if count < 0 else got.where(F.col("rank") < offset + count)
+    got = ranked(zset, reverse).drop("card") if count < 0 else firsts(zset, order(reverse), offset + count, name="rank")
+    return got.where(F.col("rank") >= offset)
 
 
 def by_rank(zset: DataFrame, first: int, last: int, reverse: bool = False) -> DataFrame:
     """Inclusive ranks; negative ones count from the end."""
     if first >= 0 and last >= 0:
-        return ranked(zset, reverse).where(F.col("rank").between(first, last))
-    sized = ranked(zset, reverse).join(card(zset), "key")
+        return firsts(zset, order(reverse), last + 1, name="rank").where(F.col("rank") >= first)
+    if first < 0 and last < 0:  # from the other end
+        tail = firsts(zset, order(not reverse), -first, name="rank").where(F.col("rank") >= -last - 1)
+        return tail.join(card(zset), "key").withColumn("rank", F.col("card") - 1 - F.col("rank")).drop("card")
     lo = F.lit(first) if first >= 0 else F.greatest(F.col("card") + first, F.lit(0))
     hi = F.lit(last) if last >= 0 else F.col("card") + last
-    return sized.where(F.col("rank").between(lo, hi)).drop("card")
+    return ranked(zset, reverse).where(F.col("rank").between(lo, hi)).drop("card")
 
 
 def pop(zset: DataFrame, count: int, largest: bool = False) -> tuple[DataFrame, DataFrame]:
     """(popped, rest)."""
-    got = ranked(zset, largest)
-    return got.where(F.col("rank") < count), got.where(F.col("rank") >= count).drop("rank")
+    got = firsts(zset, order(largest), count, name="rank")
+    return got, remove(zset, got.select("key", "member"))
 
 
 def pop_first(zset: DataFrame, keys: list[str], count: int, largest: bool = False) -> DataFrame:
@@ -138,7 +133,7 @@ def pop_first(zset: DataFrame, keys: list[str], count: int, largest: bool = Fals
 
 def sample(zset: DataFrame, count: int, seed: int = 0) -> DataFrame:
     """``count`` distinct members of each key, by a seeded hash."""
-    return zset.withColumn("rank", rank([F.xxhash64("key", "member", F.lit(seed)), F.col("member")])).where(F.col("rank") < count).drop("rank")
+    return firsts(zset, [F.xxhash64("key", "member", F.lit(seed)), F.col("member")], count, name="rank").drop("rank")
 
 
 def _sources(zset: DataFrame, keys: list[str], weights: list[float] | None) -> DataFrame:
@@ -147,7 +142,11 @@ def _sources(zset: DataFrame, keys: list[str], weights: list[float] | None) -> D
 
 
 def _combined(how: str) -> Column:
-    return normal({"SUM": F.sum, "MIN": F.min, "MAX": F.max}[how]("score")).alias("score")
+    """MIN and MAX pass over NaN (infinity times 0) where there is a number."""
+    if how == "SUM":
+        return normal(F.sum("score")).alias("score")
+    number = F.when(~F.isnan("score"), F.col("score"))
+    return normal(F.coalesce({"MIN": F.min, "MAX": F.max}[how](number), F.max("score"))).alias("score")
 
 
 def union(zset: DataFrame, keys: list[str], weights: list[float] | None = None, how: str = "SUM") -> DataFrame:
@@ -179,5 +178,5 @@ def scan(zset: DataFrame, after: str = "", count: int = 10, pattern: str | None
     got = zset.where(F.col("member") > after)
     if pattern is not None:
         got = got.where(glob(F.col("member"), pattern))
-    return got.withColumn("rank", rank([F.col("member")])).where(F.col("rank") < count).drop("rank")
+    return firsts(got, [F.col("member")], count, name="rank").drop("rank")
 

@@ -1,9 +1,10 @@
 """JSON documents: relation ``json_docs(key, doc)``, with the path subset ``.k ['k'] [i] [*]
 .*`` (a negative index counts from the end).
 
-Reads of one definite path compile to built-in functions; everything that rewrites a
-document, and wildcard paths, run in Arrow batches. A command on a document answers
-null where the path has no match.
+Types, lengths and keys at one definite path, and scalars (``value``), compile to built-in
+functions; whatever rewrites or prints a document, wildcards and negative indexes run in Arrow
+batches. A command answers null where the path has no match, and where the document is null
+or malformed (``valid`` tells them apart); a write leaves a malformed document as it is.
 """
 
 from __future__ import annotations
@@ -54,11 +55,32 @@ def dumps(value) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
+def loads(doc: str | None):
+    """The document and whether it is one."""
+    try:
+        return (None, False) if doc is None else (json.loads(doc), True)
+    except ValueError:
+        return None, False
+
+
+def valid(doc: Column) -> Column:
+    """Whether a document that is not null can be parsed."""
+    return F.when(doc.isNotNull(), F.try_parse_json(doc).isNotNull())
+
+
+def definite(path: str) -> str | None:
+    """The path as built-in readers take it; None if they cannot."""
+    tokens = parse_path(path)
+    if any(t is None or isinstance(t, int) and t < 0 or isinstance(t, str) and "'" in t for t in tokens):
+        return None
+    return "$" + "".join(f"[{t}]" if isinstance(t, int) else f"['{t}']" for t in tokens)
+
+
 def _udf(kind: T.DataType, f: Callable):
     @F.pandas_udf(kind)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for docs in parts:
-            yield pd.Series([None if d is None else f(json.loads(d)) for d in docs], dtype=object)
+            yield pd.Series([f(x) if fine else None for x, fine in map(loads, docs)], dtype=object)
 
     return run
 
@@ -102,11 +124,34 @@ def _each(kind: T.DataType, f: Callable):
     return make
 
 
-type_of = _each(T.StringType(), lambda v: TYPES[type(v)])
-str_len = _each(T.LongType(), lambda v: len(v) if isinstance(v, str) else None)
-arr_len = _each(T.LongType(), lambda v: len(v) if isinstance(v, list) else None)
-obj_len = _each(T.LongType(), lambda v: len(v) if isinstance(v, dict) else None)
-obj_keys = _each(T.ArrayType(T.StringType()), lambda v: list(v) if isinstance(v, dict) else None)
+def _built_in(kind: T.DataType, f: Callable, made: Callable):
+    """``made(kind of the value, its text)`` from built-in functions where the path allows."""
+    batches = _each(kind, f)
+
+    def make(doc: Column, path: str = "$") -> Column:
+        at = definite(path)
+        if at is None:
+            return batches(doc, path)
+        return made(F.schema_of_variant(F.try_variant_get(F.try_parse_json(doc), at, "variant")), F.get_json_object(doc, at))
+
+    return make
+
+
+_KIND = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+
+
+def _type(kind: Column, text: Column) -> Column:
+    out = F.when(kind.isNull(), F.lit(None))
+    for sign, name in _KIND.items():
+        out = out.when(F.startswith(kind, F.lit(sign)), F.lit(name))
+    return out.when(F.regexp_like(text, F.lit(r"^-?[0-9]+$")), F.lit("integer")).otherwise(F.lit("number"))
+
+
+type_of = _built_in(T.StringType(), lambda v: TYPES[type(v)], _type)
+str_len = _built_in(T.LongType(), lambda v: len(v) if isinstance(v, str) else None, lambda kind, text: F.when(kind == "STRING", F.length(text)).cast("long"))
+arr_len = _built_in(T.LongType(), lambda v: len(v) if isinstance(v, list) else None, lambda kind, text: F.when(F.startswith(kind, F.lit("ARRAY")), F.json_array_length(text)).cast("long"))
+obj_len = _built_in(T.LongType(), lambda v: len(v) if isinstance(v, dict) else None, lambda kind, text: F.when(F.startswith(kind, F.lit("OBJECT")), F.size(F.json_object_keys(text))).cast("long"))
+obj_keys = _built_in(T.ArrayType(T.StringType()), lambda v: list(v) if isinstance(v, dict) else None, lambda kind, text: F.when(F.startswith(kind, F.lit("OBJECT")), F.json_object_keys(text)))
 memory = _each(T.LongType(), lambda v: len(dumps(v).encode()))
 
 
@@ -145,7 +190,7 @@ def _change(doc: Column, path: str, f: Callable) -> Column:
     @F.pandas_udf(_CHANGED)
     def rows(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for docs in parts:
-            yield pd.DataFrame([{"doc": None, "reply": None} if d is None else run(json.loads(d)) for d in docs], columns=["doc", "reply"])
+            yield pd.DataFrame([run(x) if fine else {"doc": d, "reply": None} for d, (x, fine) in zip(docs, map(loads, docs))], columns=["doc", "reply"])
 
     return rows(doc)
 
@@ -167,7 +212,7 @@ def put(doc: Column, path: str, new: str, only: str | None = None) -> Column:
                     v[tokens[-1]] = x
         return d
 
-    return _udf(T.StringType(), lambda d: dumps(run(d)))(doc)
+    return F.coalesce(_udf(T.StringType(), lambda d: dumps(run(d)))(doc), doc)
 
 
 def delete(doc: Column, path: str) -> Column:
@@ -183,7 +228,7 @@ def delete(doc: Column, path: str) -> Column:
     @F.pandas_udf(_CHANGED)
     def rows(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for docs in parts:
-            yield pd.DataFrame([(None, None) if d is None else run(json.loads(d)) for d in docs], columns=["doc", "reply"])
+            yield pd.DataFrame([run(x) if fine else (d, None) for d, (x, fine) in zip(docs, map(loads, docs))], columns=["doc", "reply"])
 
     return rows(doc)
 

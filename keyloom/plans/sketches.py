@@ -117,36 +117,76 @@ def bf_scandump_loadchunk(s, d):
     return both.groupBy("key").agg(((F.count("a") == F.count(F.lit(1))) & (F.count("b") == F.count(F.lit(1)))).alias("same"))
 
 
-@query(E + "SELECT key, count(*) AS card FROM n GROUP BY key")
+@query(E + "SELECT key, count(*) AS card, true AS near FROM n GROUP BY key")
 def bf_card(s, d):
-    return items(s, d).select("key", "item").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("card"))
+    """The filter's own estimate beside the true number."""
+    exact = items(s, d).groupBy("key").agg(F.count_distinct("item").alias("card"))
+    got = o.bloom_card(o.bloom(items(s, d), *SIZE), *SIZE).withColumnRenamed("card", "estimate").join(exact, "key")
+    return got.select("key", "card", (F.abs(F.col("estimate") - F.col("card")) <= F.greatest(F.col("card") * 0.02, F.lit(2))).alias("near"))
 
 
-@query("SELECT 287552 AS bits, 10 AS hashes")
+@query(E + "SELECT key, 20000 AS capacity, 287552 AS bits, 10 AS hashes, true AS filled FROM n GROUP BY key")
 def bf_info(s, d):
-    n, k = o.bloom_size(*SIZE)
-    return s.range(1).select(F.lit(n).alias("bits"), F.lit(k).alias("hashes"))
+    got = o.bloom_info(o.bloom(items(s, d), *SIZE), *SIZE)
+    most = items(s, d).groupBy("key").agg((F.count_distinct("item") * 10).alias("most"))
+    return got.join(most, "key").select("key", "capacity", "bits", "hashes", F.col("bits_set").between(F.col("most") * 0.8, F.col("most")).alias("filled"))
+
+
+CF = 1 << 16
+
+
+def _filter(s, d):
+    return o.cuckoo(items(s, d).select("key", "item"), CF)
+
+
+def _distinct(s, d):
+    return items(s, d).select("key", "item").distinct()
+
+
+@query(E + "SELECT key, 32768 AS buckets, 2 AS bucket_size, sum(n)::BIGINT AS items FROM n GROUP BY key")
+def cf_reserve(s, d):
+    return o.cuckoo_info(_filter(s, d), CF).select("key", "buckets", "bucket_size", "items")
+
+
+@query(E + "SELECT key, sum(n)::BIGINT AS items, count(*) AS slots FROM n GROUP BY key")
+def cf_info(s, d):
+    return o.cuckoo_info(_filter(s, d), CF).select("key", "items", "slots")
 
 
 @query(E + "SELECT key, item, n + CAST(item AS BIGINT) % 2 AS n FROM n")
 def cf_add(s, d):
-    return o.multiset_add(o.multiset(items(s, d)), items(s, d).where("item % 2 = 1").select("key", "item").distinct())
+    after = o.cuckoo_add(_filter(s, d), _distinct(s, d).where("item % 2 = 1"), CF)
+    return o.cuckoo_count(after, _distinct(s, d), CF).select("key", "item", "n")
 
 
 @query(E + "SELECT key, item, n FROM n UNION ALL SELECT DISTINCT 'new', item, 1 FROM n")
 def cf_addnx(s, d):
-    more = items(s, d).select("key", "item").unionByName(items(s, d).select(F.lit("new").alias("key"), "item"))
-    return o.multiset_add(o.multiset(items(s, d)), more, absent=True)
+    new = items(s, d).select(F.lit("new").alias("key"), "item")
+    after = o.cuckoo_add(_filter(s, d), items(s, d).select("key", "item").unionByName(new), CF, absent=True)
+    return o.cuckoo_count(after, _distinct(s, d).unionByName(new), CF).select("key", "item", "n")
 
 
 @query(E + "SELECT key, item, n - 1 AS n FROM n WHERE n > 1")
 def cf_del(s, d):
-    return o.multiset_delete(o.multiset(items(s, d)), items(s, d).select("key", "item").distinct())
+    after = o.cuckoo_delete(_filter(s, d), _distinct(s, d), CF)
+    return o.cuckoo_count(after, _distinct(s, d), CF).where("found").select("key", "item", "n")
 
 
 @query(E + "SELECT key, item, n FROM n")
 def cf_count(s, d):
-    return o.multiset(items(s, d))
+    return o.cuckoo_count(_filter(s, d), _distinct(s, d), CF).select("key", "item", "n")
+
+
+@query(E + "SELECT key, item, true AS found FROM n UNION ALL SELECT key, 'none' || item, false FROM n")
+def cf_mexists(s, d):
+    asked = _distinct(s, d).select("key", F.explode(F.array("item", F.concat(F.lit("none"), "item"))).alias("item"))
+    return o.cuckoo_count(_filter(s, d), asked, CF).select("key", "item", "found")
+
+
+@query(E + "SELECT key, item, n FROM n")
+def cf_scandump_loadchunk(s, d):
+    back = o.cuckoo_load(o.cuckoo_dump(_filter(s, d)))
+    return o.cuckoo_count(back, _distinct(s, d), CF).select("key", "item", "n")
 
 
 CMS = o.cms_size(0.0005, 0.001)
@@ -166,9 +206,26 @@ def cms_merge(s, d):
     return cells.where("row = 0").agg(F.sum("n").alias("total"))
 
 
-@query("SELECT 5437 AS width, 7 AS depth")
+@query(E + "SELECT key, 5437 AS width, 7 AS depth, sum(n)::BIGINT AS count FROM n GROUP BY key UNION ALL SELECT 'new', 5437, 7, 0")
 def cms_info(s, d):
-    return s.range(1).select(F.lit(CMS[0]).alias("width"), F.lit(CMS[1]).alias("depth"))
+    keys = items(s, d).select("key").distinct().union(s.range(1).select(F.lit("new").alias("key")))
+    return o.cms_info(o.cms_zero(keys, *CMS), o.cms(items(s, d), *CMS))
+
+
+@query(E + "SELECT DISTINCT key, 10 AS k FROM n")
+def topk_reserve(s, d):
+    return o.top_reserve(items(s, d).select("key").distinct(), 10)
+
+
+@query(E + "SELECT key, 10 AS k, count(*) AS listed, min(n) AS least FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, item) AS p FROM n) WHERE p <= 10 GROUP BY key")
+def topk_info(s, d):
+    return o.top_info(o.top_reserve(items(s, d).select("key").distinct(), 10), items(s, d))
+
+
+@query(E + "SELECT key, item, n FROM n UNION ALL SELECT key, 'none' || item, 0 FROM n")
+def topk_count(s, d):
+    asked = _distinct(s, d).select("key", F.explode(F.array("item", F.concat(F.lit("none"), "item"))).alias("item"))
+    return o.top_count(items(s, d), asked)
 
 
 @query(E + "SELECT key, item, n FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, item) AS k FROM n) WHERE k <= 10")
@@ -195,18 +252,51 @@ def _digest(name, sql, make):
         return make(values(s, d))
 
 
-_digest("tdigest_min", "SELECT key, min(value) AS x FROM v GROUP BY key", lambda v: v.groupBy("key").agg(F.min("value").alias("x")))
-_digest("tdigest_max", "SELECT key, max(value) AS x FROM v GROUP BY key", lambda v: v.groupBy("key").agg(F.max("value").alias("x")))
-_digest("tdigest_mean", "SELECT key, round(avg(value), 6) AS x FROM v GROUP BY key", lambda v: v.groupBy("key").agg(F.round(F.avg("value"), 6).alias("x")))
-_digest("tdigest_quantile", "SELECT key, round(quantile_cont(value, 0.1), 6) AS a, round(quantile_cont(value, 0.5), 6) AS b, round(quantile_cont(value, 0.99), 6) AS c FROM v GROUP BY key",
-        lambda v: o.quantiles(v, 0.1, 0.5, 0.99).select("key", *(F.round(F.col("quantiles")[i], 6).alias(n) for i, n in enumerate("abc"))))
-_digest("tdigest_cdf", "SELECT key, round(avg((value < 50)::INT), 9) AS cdf FROM v GROUP BY key", lambda v: o.cdf(v, 50).select("key", F.round("cdf", 9).alias("cdf")))
-_digest("tdigest_rank", "SELECT key, count_if(value < 50) AS rank FROM v GROUP BY key", lambda v: o.cdf(v, 50).select("key", "rank"))
-_digest("tdigest_revrank", "SELECT key, count_if(value >= 50) AS revrank FROM v GROUP BY key", lambda v: o.cdf(v, 50).select("key", "revrank"))
-_digest("tdigest_byrank", "SELECT key, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY value) - 1 AS rank FROM v) WHERE rank IN (0, 10, 500)", lambda v: o.by_rank(v, [0, 10, 500]))
-_digest("tdigest_byrevrank", "SELECT key, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY value DESC) - 1 AS rank FROM v) WHERE rank IN (0, 10, 500)", lambda v: o.by_rank(v, [0, 10, 500], reverse=True))
-_digest("tdigest_trimmed_mean", ", q AS (SELECT key, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi FROM v GROUP BY key) SELECT key, round(avg(value), 6) AS mean FROM v JOIN q USING (key) WHERE value BETWEEN lo AND hi GROUP BY key", lambda v: o.trimmed_mean(v, 0.1, 0.9).select("key", F.round("mean", 6).alias("mean")))
-_digest("tdigest_merge", "SELECT key, true AS near FROM (SELECT DISTINCT key FROM v)", lambda v: o.approximate_quantiles(v, 0.5).join(o.quantiles(v, 0.5).withColumnRenamed("quantiles", "q"), "key").select("key", (F.abs(F.col("quantiles")[0] - F.col("q")[0]) < 2).alias("near")))
+#: Large enough to hold all values of a key of the small tables.
+K = 16_384
+
+
+def _state(v):
+    return o.digest(v, K)
+
+
+def _halves(v):
+    """The same values by way of two digests."""
+    return o.digest_add(o.digest(v.where("value < 50"), K), v.where("value >= 50 OR value IS NULL"), K)
+
+
+def _halved(v, make):
+    return make(_halves(v))
+
+
+_digest("tdigest_min", "SELECT key, min(value) AS x FROM v GROUP BY key", lambda v: o.digest_info(_state(v)).select("key", F.col("least").alias("x")))
+_digest("tdigest_max", "SELECT key, max(value) AS x FROM v GROUP BY key", lambda v: o.digest_info(_state(v)).select("key", F.col("greatest").alias("x")))
+_digest("tdigest_mean", "SELECT key, round(avg(value), 6) AS x FROM v GROUP BY key", lambda v: o.digest_info(_state(v)).select("key", F.round("mean", 6).alias("x")))
+_digest("tdigest_quantile", "SELECT key, round(quantile_disc(value, 0.1), 6) AS a, round(quantile_disc(value, 0.5), 6) AS b, round(quantile_disc(value, 0.99), 6) AS c FROM v GROUP BY key",
+        lambda v: o.quantiles(_state(v), 0.1, 0.5, 0.99).select("key", *(F.round(F.col("quantiles")[i], 6).alias(n) for i, n in enumerate("abc"))))
+_digest("tdigest_cdf", "SELECT key, round(avg((value <= 50)::INT), 9) AS cdf FROM v GROUP BY key", lambda v: o.cdf(_state(v), 50).select("key", F.round("cdf", 9).alias("cdf")))
+_digest("tdigest_rank", "SELECT key, count_if(value <= 50) AS rank FROM v GROUP BY key", lambda v: o.cdf(_state(v), 50).select("key", "rank"))
+_digest("tdigest_revrank", "SELECT key, count_if(value > 50) AS revrank FROM v GROUP BY key", lambda v: o.cdf(_state(v), 50).select("key", "revrank"))
+_digest("tdigest_byrank", "SELECT key, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY value) - 1 AS rank FROM v) WHERE rank IN (0, 10, 500)", lambda v: o.by_rank(_state(v), [0, 10, 500]))
+_digest("tdigest_byrevrank", "SELECT key, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY value DESC) - 1 AS rank FROM v) WHERE rank IN (0, 10, 500)", lambda v: o.by_rank(_state(v), [0, 10, 500], reverse=True))
+_digest("tdigest_trimmed_mean", ", q AS (SELECT key, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi FROM v GROUP BY key) SELECT key, round(avg(value), 6) AS mean, true AS near FROM v JOIN q USING (key) WHERE value BETWEEN lo AND hi GROUP BY key",
+        lambda v: o.trimmed_mean(_state(v), 0.1, 0.9).withColumnRenamed("mean", "got").join(_exactly_trimmed(v), "key").select("key", F.round("mean", 6).alias("mean"), (F.abs(F.col("got") / F.col("mean") - 1) < 0.02).alias("near")))
+_digest("tdigest_create", "SELECT DISTINCT key, 0 AS n, 0 AS bytes FROM v", lambda v: o.digest_info(o.digest_create(v.select("key").distinct())).select("key", "n", "bytes"))
+_digest("tdigest_add", "SELECT key, count(value) AS n, round(quantile_disc(value, 0.5), 6) AS median FROM v GROUP BY key",
+        lambda v: _halved(v, lambda x: x.join(o.quantiles(x, 0.5), "key").select("key", "n", F.round(F.col("quantiles")[0], 6).alias("median"))))
+_digest("tdigest_reset", ", b AS (SELECT DISTINCT key FROM v) SELECT key, 0 AS n FROM b", lambda v: o.digest_create(_state(v)).select("key", "n"))
+_digest("tdigest_merge", "SELECT 'both' AS key, count(*) AS n, min(value) AS least, max(value) AS greatest, round(quantile_disc(value, 0.9), 6) AS q FROM v WHERE key IN ('click', 'view')", lambda v: _merged(o.digest_merge(_state(v), ["click", "view"], "both")))
+_digest("tdigest_info", "SELECT key, count(value) AS n, min(value) AS least, max(value) AS greatest, round(avg(value), 6) AS mean, true AS bounded FROM v GROUP BY key",
+        lambda v: o.digest_info(_state(v)).select("key", "n", "least", "greatest", F.round("mean", 6).alias("mean"), (F.col("bytes") < 64 * K).alias("bounded")))
+
+
+def _merged(x):
+    return x.join(o.quantiles(x, 0.9), "key").select("key", "n", "least", "greatest", F.round(F.col("quantiles")[0], 6).alias("q"))
+
+
+def _exactly_trimmed(v):
+    cut = o.exact_quantiles(v, 0.1, 0.9)
+    return v.join(cut, "key").where(F.col("value").between(F.col("quantiles")[0], F.col("quantiles")[1])).groupBy("key").agg(F.avg("value").alias("mean"))
 
 
 @query(E + "SELECT key, true AS near FROM (SELECT DISTINCT key FROM n)")
@@ -231,11 +321,11 @@ def _messages(s, d):
 
 
 def _exact(s, d):
-    return table(s, d, "supplier").where("s_suppkey < 20").select(F.when(F.col("s_suppkey") % 2 == 0, "click").otherwise("view").alias("channel"), F.col("s_name").alias("subscriber"))
+    return table(s, d, "supplier").select(F.when(F.col("s_suppkey") % 2 == 0, "click").otherwise("view").alias("channel"), F.col("s_name").alias("subscriber"))
 
 
 PATTERNS = [("c*", "P1"), ("*e*", "P2"), ("?iew", "P3"), ("none", "P4")]
-M = "WITH m AS (SELECT event_id AS id, event_type AS channel FROM events), x AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'click' ELSE 'view' END AS channel, s_name AS subscriber FROM supplier WHERE s_suppkey < 20), q AS (SELECT id, subscriber FROM m JOIN x USING (channel) UNION ALL SELECT id, s FROM m, (VALUES ('^c.*$', 'P1'), ('^.*e.*$', 'P2'), ('^.iew$', 'P3')) p(r, s) WHERE regexp_matches(channel, r)) "
+M = "WITH m AS (SELECT event_id AS id, event_type AS channel FROM events), x AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'click' ELSE 'view' END AS channel, s_name AS subscriber FROM supplier), q AS (SELECT id, subscriber FROM m JOIN x USING (channel) UNION ALL SELECT id, s FROM m, (VALUES ('^c.*$', 'P1'), ('^.*e.*$', 'P2'), ('^.iew$', 'P3')) p(r, s) WHERE regexp_matches(channel, r)) "
 
 
 @query(M + "SELECT m.id, count(q.id) AS receivers FROM m LEFT JOIN q ON m.id = q.id GROUP BY m.id")
@@ -265,4 +355,4 @@ def stream_createrule(s, d):
     folder = os.path.join(scratch(s), f"rule-{uuid.uuid4().hex}")
     out = streaming.continuous(streaming.read(s, f"{d}/events.parquet"), F.col("event_type"), F.col("ts"), F.col("value"), "1 hour")
     streaming.upsert_to(out, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return s.read.parquet(f"{folder}/out").select("key", "ts", F.round("total", 4).alias("total"), "n")
+    return streaming.upserted(s, f"{folder}/out", ["key", "ts"]).select("key", "ts", F.round("total", 4).alias("total"), "n")

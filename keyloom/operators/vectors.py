@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..relations import rank
+from ..relations import firsts
 
 
 def norm(vec: Column) -> Column:
@@ -87,25 +87,6 @@ def _best(names, given: np.ndarray, elements: np.ndarray, rows: np.ndarray, coun
         yield pd.DataFrame({"query": name, "element": e[at], "score": s[at]})
 
 
-def nearest(vectors: DataFrame, queries: list[tuple[str, list[float]]], count: int = 10, quant: str = "none", epsilon: float | None = None, where: Column | None = None, other: bool = False) -> DataFrame:
-    """(query, element, score, n): the ``count`` best rows for each of a block of
-    ``queries``; ties go by element. ``epsilon``: the least score (not for bin). ``other``:
-    an element is no neighbour of itself."""
-    if where is not None:
-        vectors = vectors.where(where)
-    names = [n for n, _ in queries]
-    given = np.array([v for _, v in queries], np.float64).reshape(len(names), -1)
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = _prepare(given, quant)
-        for batch in batches:
-            if len(batch):
-                yield from _best(names, q, batch["element"].to_numpy(), np.stack(batch["vec"].to_list()).astype(np.float64), count, quant, epsilon, other)
-
-    got = vectors.select("element", "vec").mapInPandas(best, _SCORED)
-    return got.withColumn("n", rank([F.desc("score"), F.col("element")], "query")).where(F.col("n") < count)
-
-
 def _blocks(df: DataFrame, size: int, prefix: str) -> DataFrame:
     """Rows of at most ``size`` elements and their vectors as bytes."""
 
@@ -119,8 +100,10 @@ def _blocks(df: DataFrame, size: int, prefix: str) -> DataFrame:
 
 
 def nearest_to_all(vectors: DataFrame, queries: DataFrame, count: int = 10, quant: str = "none", epsilon: float | None = None, where: Column | None = None, other: bool = False) -> DataFrame:
-    """``nearest`` for any number of ``queries(element, vec)``: blocks of queries meet blocks
-    of rows on the executors, and none passes through the driver."""
+    """(query, element, score, n): the ``count`` best rows for each of any number of
+    ``queries(element, vec)``; ties go by element. ``epsilon``: the least score (not for
+    bin). ``other``: an element is no neighbour of itself. Blocks of queries meet blocks of
+    rows on the executors, and none passes through the driver."""
     if where is not None:
         vectors = vectors.where(where)
 
@@ -132,13 +115,17 @@ def nearest_to_all(vectors: DataFrame, queries: DataFrame, count: int = 10, quan
 
     both = _blocks(queries, QUERY_BLOCK, "q").crossJoin(_blocks(vectors, ROW_BLOCK, ""))
     got = both.mapInPandas(best, _SCORED)
-    return got.withColumn("n", rank([F.desc("score"), F.col("element")], "query")).where(F.col("n") < count)
+    return firsts(got, [F.desc("score"), F.col("element")], count, "query")
+
+
+def links(vectors: DataFrame, elements: DataFrame, count: int) -> DataFrame:
+    """The neighbours of ``elements(element)``, without themselves."""
+    return nearest_to_all(vectors, vectors.join(elements, "element", "left_semi"), count, other=True)
 
 
-def links(vectors: DataFrame, elements: list[str], count: int) -> DataFrame:
-    """The neighbours of some elements, without themselves."""
-    own = vectors.where(F.col("element").isin(elements)).select("element", "vec").orderBy("element").collect()
-    return nearest(vectors, [(r[0], list(r[1])) for r in own], count, other=True)
+def sample(vectors: DataFrame, count: int, seed: int = 0) -> DataFrame:
+    """``count`` distinct elements of each key, by a seeded hash."""
+    return firsts(vectors.select("key", "element"), [F.xxhash64("element", F.lit(seed)), F.col("element")], count).drop("n")
 
 
 _TERM = re.compile(r"^(.*?)(==|!=|<=|>=|<|>)(.*)$")
@@ -177,7 +164,7 @@ def _term(text: str, attrs: Column) -> Column:
 
 def between(vectors: DataFrame, low: str, high: str, count: int | None = None) -> DataFrame:
     got = vectors.where(F.col("element").between(low, high))
-    return got if count is None else got.withColumn("n", rank([F.col("element")])).where(F.col("n") < count).drop("n")
+    return got if count is None else firsts(got, [F.col("element")], count).drop("n")
 
 
 def put(vectors: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+import hashlib
+import inspect
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +60,35 @@ class Library:
     def register(self, spark: SparkSession) -> None:
         for name, (f, returns, _) in self._functions.items():
             spark.udf.register(name, F.pandas_udf(f, returns))
+
+
+class Scripts:
+    """User functions known by the sha1 of their source: what was run once can be called by
+    that digest alone."""
+
+    def __init__(self):
+        self._known: dict[str, tuple[Callable, str]] = {}
+
+    @staticmethod
+    def digest(f: Callable) -> str:
+        return hashlib.sha1(inspect.getsource(f).encode()).hexdigest()
+
+    def load(self, f: Callable, returns: str) -> str:
+        sha = self.digest(f)
+        self._known[sha] = f, returns
+        return sha
+
+    def exists(self, *digests: str) -> list[bool]:
+        return [d.lower() in self._known for d in digests]
+
+    def flush(self) -> None:
+        self._known.clear()
+
+    def call(self, digest: str, *columns: Column) -> Column:
+        if digest.lower() not in self._known:
+            raise KeyError(f"no script {digest}")
+        f, returns = self._known[digest.lower()]
+        return F.pandas_udf(f, returns)(*columns)
+
+    def run(self, f: Callable, returns: str, *columns: Column) -> Column:
+        return self.call(self.load(f, returns), *columns)

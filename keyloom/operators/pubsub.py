@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import SLOTS, key_slot
 from ..relations import glob
 
 
@@ -33,3 +34,26 @@ def subscribers(exact: DataFrame) -> DataFrame:
     return exact.groupBy("channel").agg(F.count_distinct("subscriber").alias("subscribers"))
 
 
+def subscriptions(log: DataFrame) -> DataFrame:
+    """(channel, subscriber, since, until) of ``log(channel, subscriber, at, action)`` with the
+    actions subscribe and unsubscribe: until is null while a subscription lasts. Subscribing
+    twice changes nothing, and neither does unsubscribing from what one has not."""
+    own = Window.partitionBy("channel", "subscriber").orderBy("at")
+    changed = log.withColumn("_before", F.lag("action").over(own)).where(F.coalesce("_before", F.lit("unsubscribe")) != F.col("action"))
+    ended = changed.withColumn("until", F.lead("at").over(own))
+    return ended.where(F.col("action") == "subscribe").select("channel", "subscriber", F.col("at").alias("since"), "until")
+
+
+def deliveries_during(messages: DataFrame, spans: DataFrame) -> DataFrame:
+    """(id, channel, subscriber) of ``messages(id, channel, at)`` for those who were
+    subscribed when they were sent."""
+    met = messages.join(spans, "channel").where((F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
+    return met.select("id", "channel", "subscriber")
+
+
+def on_shard(messages: DataFrame, exact: DataFrame, shards: int) -> DataFrame:
+    """Shard channels: (id, channel, shard, subscriber); a channel's slot says on which of
+    ``shards`` equal ranges of slots its messages are dealt out."""
+    shard = F.floor(key_slot(F.col("channel")) * shards / SLOTS).cast("int")
+    where = exact.select("channel").distinct().withColumn("shard", shard)  # few channels, so slots are computed once each
+    return messages.join(exact.join(where, "channel"), "channel").select("id", "channel", "shard", "subscriber")

@@ -28,3 +28,33 @@ def exec_if_unchanged(state: DataFrame, watched: DataFrame, writes: DataFrame) -
     good = writes.join(F.broadcast(unchanged(state, watched))).select("key", F.col("value").alias("new"))  # one row at most
     both = state.select("key", "value").join(good, "key", "full")
     return both.select("key", F.coalesce("new", "value").alias("value"))
+
+
+class Queue:
+    """Writes that wait for ``execute``; ``discard`` drops them and what was watched."""
+
+    def __init__(self, state: DataFrame):
+        self.state, self.steps, self.watched = state, [], None
+
+    def watch(self, seen: DataFrame) -> None:
+        self.watched = seen if self.watched is None else self.watched.unionByName(seen)
+
+    def unwatch(self) -> None:
+        self.watched = None
+
+    def add(self, step: Callable[[DataFrame], DataFrame]) -> None:
+        self.steps.append(step)
+
+    def discard(self) -> DataFrame:
+        self.steps, self.watched = [], None
+        return self.state
+
+    def execute(self) -> DataFrame:
+        """The state after all steps, or as it was when a watched (key, value) changed."""
+        after = run(self.state, *self.steps)
+        if self.watched is not None:
+            fine = F.broadcast(unchanged(self.state, self.watched))  # one row at most
+            good, bad = after.join(fine), self.state.join(fine, how="left_anti")
+            after = good.drop("unchanged").unionByName(bad)
+        self.discard()
+        return after

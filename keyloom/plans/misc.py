@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from ..catalog import query
-from ..functions import Library
-from ..operators import blocking, sketches, transactions
+from ..functions import Library, Scripts
+from ..operators import blocking, pubsub, sketches, transactions
+from ..operators import timeseries as ts
 from ..operators import lists as lists_
 from ..operators import zsets as z
 from ..sources import scratch, table
-from .bindings import KV, LISTS, SERIES, ZSET, kv, lists, series, suppliers, zset
+from .bindings import JAN, KV, LISTS, SERIES, ZSET, kv, lists, millis, rows, series, suppliers, zset
 
 L = f"WITH {LISTS}, w AS (SELECT s_suppkey AS client, s_suppkey % 30 AS key, row_number() OVER (PARTITION BY s_suppkey % 30 ORDER BY s_suppkey) - 1 AS turn FROM supplier), x AS (SELECT *, count(*) OVER (PARTITION BY key) AS length FROM l) "
 
@@ -73,11 +74,11 @@ def watch_exec_conflict(s, d):
     return transactions.exec_if_unchanged(kv(s, d), seen, suppliers(s, d).select("key", "value"))
 
 
-@query("SELECT o_orderkey AS key, round(o_totalprice * 2, 2) AS price FROM orders WHERE o_orderkey % 50 = 0")
+@query("SELECT o_orderkey AS key, round(o_totalprice * 2, 2) AS price FROM orders")
 def fcall(s, d):
     library = Library()
     library.load("twice", lambda x: x * 2, "double")
-    return table(s, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("key"), F.round(library.call("twice", F.col("o_totalprice"), read_only=True), 2).alias("price"))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.round(library.call("twice", F.col("o_totalprice"), read_only=True), 2).alias("price"))
 
 
 @query("SELECT n_regionkey AS key, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY 1")
@@ -110,25 +111,20 @@ def pfadd(s, d):
     return old.join(new, "key").select("key", (F.col("after") > F.col("estimate")).alias("changed"))
 
 
-@query("SELECT event_type AS key, user_id AS item, count(*) AS n FROM events WHERE user_id IN (5, 6) GROUP BY ALL")
-def topk_count(s, d):
-    return table(s, d, "events").where(F.col("user_id").isin(5, 6)).groupBy(F.col("event_type").alias("key"), F.col("user_id").alias("item")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT event_type AS key, 'c' || (user_id % 3) AS consumer, count(*) AS n, max(epoch_us(ts)//1000) AS last FROM events GROUP BY ALL")
 def stream_readgroup(s, d):
     """A consumer group that reads a stream to its end, exactly once."""
     folder = os.path.join(scratch(s), f"group-{uuid.uuid4().hex}")
-    out = streaming.deliveries(streaming.read(s, f"{d}/events.parquet"), "g", F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")))
+    out = streaming.deliveries(streaming.read(s, f"{d}/events.parquet"), "g", F.col("event_type"), millis(), F.col("event_id"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")))
     streaming.append_to(out, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return s.read.parquet(f"{folder}/out").groupBy("key", "consumer").agg(F.count(F.lit(1)).alias("n"), F.max("ms").alias("last"))
 
 
-@query("SELECT subscriber, count(*) AS n FROM (SELECT event_id, event_type AS channel FROM events) JOIN (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'click' ELSE 'view' END AS channel, s_name AS subscriber FROM supplier WHERE s_suppkey < 9) USING (channel) GROUP BY subscriber UNION ALL SELECT 'P', count(*) FROM events WHERE event_type LIKE 'c%'")
+@query("SELECT subscriber, count(*) AS n FROM (SELECT event_id, event_type AS channel FROM events) JOIN (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'click' ELSE 'view' END AS channel, s_name AS subscriber FROM supplier) USING (channel) GROUP BY subscriber UNION ALL SELECT 'P', count(*) FROM events WHERE event_type LIKE 'c%'")
 def stream_publish(s, d):
     """Fan-out of a stream of messages to exact and pattern subscribers."""
     folder = os.path.join(scratch(s), f"fan-{uuid.uuid4().hex}")
-    exact = table(s, d, "supplier").where("s_suppkey < 9").select(F.when(F.col("s_suppkey") % 2 == 0, "click").otherwise("view").alias("channel"), F.col("s_name").alias("subscriber"))
+    exact = table(s, d, "supplier").select(F.when(F.col("s_suppkey") % 2 == 0, "click").otherwise("view").alias("channel"), F.col("s_name").alias("subscriber"))
     messages = streaming.read(s, f"{d}/events.parquet").select(F.col("event_id").alias("id"), F.col("event_type").alias("channel"))
     streaming.append_to(streaming.fan_out(messages, exact, [("c*", "P")]), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return s.read.parquet(f"{folder}/out").groupBy("subscriber").agg(F.count(F.lit(1)).alias("n"))
@@ -147,3 +143,138 @@ def blmpop(s, d):
 @query(Z + "SELECT key, member, score FROM r WHERE key = '3-MEDIUM' AND rev < 2")
 def bzmpop(s, d):
     return z.pop_first(zset(s, d), ["none", "3-MEDIUM"], 2, largest=True).select("key", "member", "score")
+
+
+@query(L + "SELECT 8 AS key, value FROM x WHERE key = 7 AND pos = length - 1")
+def brpoplpush(s, d):
+    return lists_.move(lists(s, d), 7, 8, from_right=True)[0]
+
+
+# Transactions that come to nothing.
+
+
+@query(f"WITH {ZSET} SELECT key, member, score FROM z")
+def discard(s, d):
+    q = transactions.Queue(zset(s, d))
+    q.add(lambda x: z.pop(x, 2)[1])
+    return q.discard()
+
+
+def _watching(s, d):
+    q = transactions.Queue(kv(s, d).select("key", "value"))
+    q.watch(kv(s, d).select("key", F.lit("else").alias("value")))
+    q.add(lambda x: x.withColumn("value", F.lower("value")))
+    return q
+
+
+@query(f"WITH {KV} SELECT key, lower(value) AS value FROM kv")
+def unwatch(s, d):
+    q = _watching(s, d)
+    q.unwatch()
+    return q.execute()
+
+
+@query(f"WITH {KV} SELECT key, value FROM kv")
+def exec_watched(s, d):
+    return _watching(s, d).execute()
+
+
+# Scripts by their digest, and those that may only read.
+
+
+def _discounted(price, discount):
+    return price * (1 - discount)
+
+
+def _lines(s, d):
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS x FROM lineitem")
+def evalsha(s, d):
+    scripts = Scripts()
+    sha = scripts.load(_discounted, "double")
+    return _lines(s, d).select("l_orderkey", "l_linenumber", F.round(scripts.call(sha, F.col("l_extendedprice"), F.col("l_discount")), 4).alias("x"))
+
+
+@query("SELECT l_orderkey, count_if(l_discount > 0.05) AS n FROM lineitem GROUP BY 1")
+def eval_ro(s, d):
+    """A script whose result is read and nothing written."""
+    told = _lines(s, d).select("l_orderkey", Scripts().run(_above, "boolean", F.col("l_discount")).alias("x"))
+    return told.groupBy("l_orderkey").agg(F.count_if("x").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_discount > 0.05 AS x FROM lineitem")
+def evalsha_ro(s, d):
+    scripts = Scripts()
+    sha = scripts.load(_above, "boolean")
+    return _lines(s, d).select("l_orderkey", "l_linenumber", scripts.call(sha, F.col("l_discount")).alias("x"))
+
+
+def _above(discount):
+    return discount > 0.05
+
+
+@query("SELECT 'before' AS at, false AS here UNION ALL SELECT 'loaded', true UNION ALL SELECT 'flushed', false")
+def script_exists(s, d):
+    scripts, sha = Scripts(), Scripts.digest(_above)
+    seen = [("before", scripts.exists(sha)[0])]
+    scripts.load(_above, "boolean")
+    seen.append(("loaded", scripts.exists(sha)[0]))
+    scripts.flush()
+    seen.append(("flushed", scripts.exists(sha)[0]))
+    return s.createDataFrame(seen, "at string, here boolean")
+
+
+@query("SELECT o_orderkey AS key, round(o_totalprice / 2, 4) AS x FROM orders")
+def fcall_ro(s, d):
+    library = Library()
+    library.load("half", lambda x: x / 2, "double", read_only=True)
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.round(library.call("half", F.col("o_totalprice"), read_only=True), 4).alias("x"))
+
+
+@query("SELECT 'a' AS name UNION ALL SELECT 'c'")
+def function_list(s, d):
+    library = Library()
+    for name in "abc":
+        library.load(name, lambda x: x, "double")
+    library.delete("b")
+    return s.createDataFrame([(n,) for n in library.names()], "name string")
+
+
+# Subscriptions that begin and end: a supplier leaves its channel in the middle of the month.
+
+SPANS = "sub AS (SELECT 'click' AS channel, s_name AS subscriber, 1704067200000 + s_suppkey * 86400000 % 864000000 AS since, 1704067200000 + 864000000 + s_suppkey * 3600000 % 864000000 AS until FROM supplier) "
+
+
+def _spans(s, d):
+    k = F.col("s_suppkey")
+    sup = table(s, d, "supplier").select(F.lit("click").alias("channel"), F.col("s_name").alias("subscriber"), (JAN + k * 86_400_000 % 864_000_000).alias("a"), (JAN + 864_000_000 + k * 3_600_000 % 864_000_000).alias("b"))
+    steps = rows(("at", "action"), (F.col("a"), F.lit("subscribe")), (F.col("a") + 1, F.lit("subscribe")), (F.col("b"), F.lit("unsubscribe")))
+    return pubsub.subscriptions(sup.select("channel", "subscriber", F.inline(steps)))
+
+
+@query("WITH " + SPANS + "SELECT channel, subscriber, since, until FROM sub")
+def unsubscribe(s, d):
+    return _spans(s, d)
+
+
+@query("WITH " + SPANS + ", m AS (SELECT event_id AS id, event_type AS channel, epoch_us(ts)//1000 AS sent FROM events) SELECT subscriber, count(*) AS n FROM m JOIN sub USING (channel) WHERE sent >= since AND sent < until GROUP BY subscriber")
+def subscribe_until(s, d):
+    sent = table(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("channel"), millis().alias("at"))
+    return pubsub.deliveries_during(sent, _spans(s, d)).groupBy("subscriber").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type AS channel, count(*) AS n, 1 AS shards FROM events JOIN (SELECT DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN 'click' ELSE 'view' END AS event_type, s_name FROM supplier) USING (event_type) GROUP BY 1")
+def spublish(s, d):
+    """Every channel's messages are dealt out on one shard."""
+    exact = table(s, d, "supplier").select(F.when(F.col("s_suppkey") % 2 == 0, "click").otherwise("view").alias("channel"), F.col("s_name").alias("subscriber")).distinct()
+    sent = pubsub.on_shard(table(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("channel")), exact, 3)
+    return sent.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("shard").cast("int").alias("shards"))
+
+
+@query("SELECT event_type AS source, event_type || ':avg' AS target FROM events WHERE event_type <> 'click' GROUP BY 1")
+def ts_deleterule(s, d):
+    made = table(s, d, "events").select(F.col("event_type").alias("source"), F.concat("event_type", F.lit(":avg")).alias("target")).distinct()
+    rules = ts.create_rules(made.withColumn("how", F.lit("avg")).withColumn("width", F.lit(3_600_000)))
+    return ts.delete_rules(rules, made.where("source = 'click'")).select("source", "target")

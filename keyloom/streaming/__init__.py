@@ -21,13 +21,21 @@ def continuous(stream: DataFrame, key: Column, time: Column, value: Column, widt
     return out.select("key", F.unix_millis("window.start").alias("ts"), "total", "n")
 
 
-def upsert_to(out: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Run until the source is used up; each batch replaces the result, so that a batch that
-    runs again after a failure leaves the same rows."""
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+def upsert_to(out: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run until the source is used up, in update mode: each batch adds the rows that it
+    changed as files of its own, which a batch that runs again after a failure replaces. The
+    watermark bounds the state. ``upserted`` reads the result."""
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
-    return out.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    return out.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def upserted(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last row of each key that ``upsert_to`` wrote."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in (*keys, "batch"))), "batch").alias("row"))
+    return last.select(*keys, "row.*")
 
 
 def append_to(out: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -35,11 +43,10 @@ def append_to(out: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def deliveries(stream: DataFrame, group: str, consumer: Column) -> DataFrame:
-    """A consumer group on a stream: what is new, with its consumer. The query's checkpoint
-    is the group's cursor, so that each entry is delivered once."""
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return stream.select(F.col("event_type").alias("key"), F.lit(group).alias("grp"), ms.alias("ms"), "event_id", consumer.alias("consumer"))
+def deliveries(stream: DataFrame, group: str, key: Column, ms: Column, entry: Column, consumer: Column) -> DataFrame:
+    """A consumer group on a stream: (key, grp, ms, entry, consumer) of what is new. The
+    query's checkpoint is the group's cursor, so that each entry is delivered once."""
+    return stream.select(key.alias("key"), F.lit(group).alias("grp"), ms.alias("ms"), entry.alias("entry"), consumer.alias("consumer"))
 
 
 def fan_out(stream: DataFrame, exact: DataFrame, patterns: list[tuple[str, str]] = ()) -> DataFrame:

@@ -68,14 +68,14 @@ def geosearchstore(s, d):
     return got.select(F.lit("near").alias("key"), "member", F.round(F.col("dist") * 1000, 2).alias("score"))
 
 
-AROUND = W + ", m AS (SELECT key, member AS centre, lon AS lon0, lat AS lat0 FROM p WHERE CAST(member AS BIGINT) % 40 = 0) SELECT key, centre, member, round(dist, 2) AS dist FROM (SELECT key, centre, member, " + haversine("lon0", "lat0", "lon", "lat") + " AS dist FROM p JOIN m USING (key)) WHERE dist <= {r}"
+AROUND = W + ", m AS (SELECT key, member AS centre, lon AS lon0, lat AS lat0 FROM p WHERE CAST(member AS BIGINT) % 100 = 0) SELECT key, centre, member, round(dist, 2) AS dist FROM (SELECT key, centre, member, " + haversine("lon0", "lat0", "lon", "lat") + " AS dist FROM p JOIN m USING (key)) WHERE dist <= {r}"
 
 
 def _around(name, radius):
     @query(AROUND.format(r=radius), name=name)
     def run(s, d):
         places = o.add(geo(s, d))
-        centres = places.where(F.col("member").cast("long") % 40 == 0).select("key", F.col("member").alias("centre"))
+        centres = places.where(F.col("member").cast("long") % 100 == 0).select("key", F.col("member").alias("centre"))
         return o.search_around(places, centres, radius).withColumn("dist", F.round("dist", 2))
 
 

@@ -11,13 +11,13 @@ W = f"WITH {HASHES} "
 
 
 def asked(s, d):
-    """Balance and a field that no one has, for every tenth key and for missing keys."""
-    k = s.range(0, 3000, 10)
-    key = F.concat(F.lit("cust:"), F.col("id").cast("string")).alias("key")
-    return k.select(key, F.explode(F.array(F.lit("balance"), F.lit("phone"))).alias("field"))
+    """Balance and a field that no one has, for every customer and for missing keys."""
+    k = table(s, d, "customer").select(F.concat(F.lit("cust:"), F.col("c_custkey").cast("string")).alias("key"))
+    k = k.union(table(s, d, "supplier").select(F.concat(F.lit("none:"), F.col("s_suppkey").cast("string"))))
+    return k.select("key", F.explode(F.array(F.lit("balance"), F.lit("phone"))).alias("field"))
 
 
-A = W + ", a AS (SELECT 'cust:' || i AS key, field FROM range(0, 3000, 10) r(i), (VALUES ('balance'), ('phone')) f(field)), j AS (SELECT a.key, a.field, hl.value, hl.expires_at, hl.key IS NOT NULL AS here FROM a LEFT JOIN hl USING (key, field)) "
+A = W + ", a AS (SELECT key, field FROM (SELECT 'cust:' || c_custkey AS key FROM customer UNION ALL SELECT 'none:' || s_suppkey FROM supplier), (VALUES ('balance'), ('phone')) f(field)), j AS (SELECT a.key, a.field, hl.value, hl.expires_at, hl.key IS NOT NULL AS here FROM a LEFT JOIN hl USING (key, field)) "
 
 
 def incoming(s, d):

@@ -14,16 +14,18 @@ J = W + ", j AS (SELECT coalesce(live.key, w1.key) AS key, live.value AS old, w1
 
 
 def asked(s, d):
-    return s.range(0, 2000, 25).select(F.concat(F.lit("cust:"), F.col("id").cast("string")).alias("key"), F.col("id").alias("pos"))
+    """All customers, and keys that no one has."""
+    some = table(s, d, "customer").select(F.concat(F.lit("cust:"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_custkey").alias("pos"))
+    return some.union(table(s, d, "supplier").select(F.concat(F.lit("none:"), F.col("s_suppkey").cast("string")).alias("key"), (-F.col("s_suppkey")).alias("pos")))
 
 
-A = W + ", a AS (SELECT 'cust:' || i AS key, i AS pos FROM range(0, 2000, 25) r(i)) "
+A = W + ", a AS (SELECT 'cust:' || c_custkey AS key, c_custkey AS pos FROM customer UNION ALL SELECT 'none:' || s_suppkey, -s_suppkey FROM supplier) "
 AJ = A + ", q AS (SELECT a.key, a.pos, live.value, live.expires_at, live.key IS NOT NULL AS here FROM a LEFT JOIN live ON a.key = live.key) "
 
 
-@query(A + "SELECT a.key, live.value FROM a LEFT JOIN live ON a.key = live.key WHERE a.pos = 1000")
+@query(A + "SELECT a.key, live.value FROM a LEFT JOIN live ON a.key = live.key WHERE a.pos = 100")
 def get(s, d):
-    return o.get(kv(s, d), asked(s, d).where("pos = 1000").select("key"), NOW)
+    return o.get(kv(s, d), asked(s, d).where("pos = 100").select("key"), NOW)
 
 
 @query(A + "SELECT a.pos, a.key, live.value FROM a LEFT JOIN live ON a.key = live.key")
@@ -112,17 +114,10 @@ def lcs(s, d):
     return p.select("key", x.alias("x")).select("key", F.col("x.lcs").cast("string").alias("lcs"), "x.length", F.size("x.matches").alias("ranges"))
 
 
-LCS_SQL = """
-WITH RECURSIVE p AS (SELECT p_partkey AS key, left(p_name, 7) AS a, left(p_type, 7) AS b FROM part WHERE p_partkey % 50 = 0),
-subs AS (SELECT key, a, b, 0 AS i, '' AS s FROM p UNION ALL SELECT key, a, b, i + 1, CASE k WHEN 0 THEN s ELSE s || a[i + 1] END FROM subs, (VALUES (0), (1)) c(k) WHERE i < length(a)),
-hits AS (SELECT key, length(s) AS n FROM subs WHERE i = length(a) AND regexp_matches(b, array_to_string(list_transform(range(1, length(s) + 1), lambda q: regexp_escape(s[q])), '.*')))
-SELECT p.key, CAST(coalesce(max(n), 0) AS INT) AS length FROM p LEFT JOIN hits USING (key) GROUP BY p.key"""
-
-
-@query(LCS_SQL)
+@query(None)
 def lcs_length(s, d):
-    p = table(s, d, "part").where("p_partkey % 50 = 0")
-    return p.select(F.col("p_partkey").alias("key"), t.lcs_length(F.left("p_name", F.lit(7)), F.left("p_type", F.lit(7))).alias("length"))
+    p = table(s, d, "part")
+    return p.select(F.col("p_partkey").alias("key"), t.lcs()(F.col("p_name"), F.col("p_type")).getField("length").alias("length"))
 
 
 def _log(s, d, delta):
@@ -148,6 +143,7 @@ def incrbyfloat(s, d):
 
 @query(None)
 def digest(s, d):
+    """Tested against the hash library."""
     return kv(s, d).select("key", t.xxh3("value").alias("digest"))
 
 
@@ -264,7 +260,7 @@ def info_keyspace(s, d):
 
 
 def _orders(s, d):
-    x = table(s, d, "orders").where("o_custkey % 20 = 0")
+    x = table(s, d, "orders")
     return x.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").cast("string").alias("value")).withColumn("pos", rank([F.col("value")]))
 
 
@@ -272,7 +268,7 @@ def _prices(s, d):
     return table(s, d, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").cast("string").alias("value"), F.col("o_totalprice").cast("string").alias("weight"))
 
 
-O = "WITH i AS (SELECT o_custkey AS key, CAST(o_orderkey AS VARCHAR) AS value, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS pos, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice ELSE 0 END AS price, o_orderstatus AS status FROM orders WHERE o_custkey % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {o}) - 1 AS rank FROM i) SELECT key, rank, value{x} FROM r {w}"
+O = "WITH i AS (SELECT o_custkey AS key, CAST(o_orderkey AS VARCHAR) AS value, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS pos, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice ELSE 0 END AS price, o_orderstatus AS status FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {o}) - 1 AS rank FROM i) SELECT key, rank, value{x} FROM r {w}"
 
 
 @query(O.format(o="CAST(value AS DOUBLE), pos", x="", w="WHERE rank BETWEEN 1 AND 4"))
@@ -294,3 +290,25 @@ def sort_by_get(s, d):
 @query(O.format(o="price DESC, pos DESC", x="", w=""))
 def sort_ro(s, d):
     return o.sort(_orders(s, d), by=_prices(s, d), descending=True)
+
+
+# Conditions on the digest of the value: xxh3 of "Customer#000000003 ..." and the like is
+# computed for one key, of which the others differ.
+
+
+def _digest_of_one(s, d):
+    one = kv(s, d).where(F.col("key") == "cust:3").select(t.xxh3("value")).first()
+    return one[0] if one else ""
+
+
+@query(J + "SELECT key, (coalesce(key = 'cust:3', false)) AS applied FROM (SELECT 'cust:' || c_custkey AS key FROM customer WHERE c_custkey % 3 = 0 OR c_custkey * 1000 > 500000)")
+def set_ifdeq(s, d):
+    every = kv(s, d).select("key", F.lit("new").alias("value"), F.lit(1).alias("seq"))
+    got = o.put(kv(s, d), every, NOW, ("IFDEQ", _digest_of_one(s, d)))
+    return got.join(live(kv(s, d), NOW).select("key"), "key", "left_semi").select("key", "applied")
+
+
+@query(W + "SELECT key FROM live WHERE key = 'cust:3'")
+def delex_ifdne(s, d):
+    every = kv(s, d).select("key")
+    return o.delete(kv(s, d), every, NOW, ("IFDNE", _digest_of_one(s, d)))[0].select("key")

@@ -12,6 +12,8 @@ DATA = "/root/testdata/sf0.001"
 def test_lcs_of_every_part(spark):
     parts = spark.read.parquet(f"{DATA}/part.parquet").select("p_partkey", "p_name", "p_type").collect()
     got = {r["key"]: r for r in catalog.queries()["lcs"](spark, DATA).collect()}
+    lengths = {r["key"]: r["length"] for r in catalog.queries()["lcs_length"](spark, DATA).collect()}
+    assert lengths == {k: r["length"] for k, r in got.items()}
     assert set(got) == {r["p_partkey"] for r in parts}
     for key, a, b in parts:
         before = [0] * (len(b) + 1)
@@ -43,3 +45,10 @@ def test_q8_search_asks_for_every_hundredth_element(spark, monkeypatch, blocks):
         want |= {(asked, e, n) for n, (_, e) in enumerate(best)}
     got = catalog.queries()["vsim_q8"](spark, DATA).select("query", "element", "n").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) == 40
+
+
+def test_digest_of_every_customer(spark):
+    import xxhash
+
+    want = {f"cust:{k}": xxhash.xxh3_64_hexdigest(f"{n} {m}".encode()) for k, n, m in spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment").collect()}
+    assert {r["key"]: r["digest"] for r in catalog.queries()["digest"](spark, DATA).collect()} == want

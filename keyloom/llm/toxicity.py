@@ -3,8 +3,8 @@
 A text's terms are its words and their prefixes, so that inflected forms share some, hashed
 into ``BUCKETS``. Of these the machine uses the ``MAX_TERMS`` at most whose presence goes
 with the label beyond ``LEAST_Z`` standard deviations, and terms that tell nothing alone but
-in pairs: of the ``PAIR_TERMS`` most frequent ones that half of the sample at most holds, those
-of the ``MAX_PAIRS`` at most whose common presence goes with the label beyond ``PAIR_Z``
+in pairs: of the ``PAIR_TERMS`` most frequent ones that ``MOST_SHARE`` of the sample at most
+holds, those of the ``MAX_PAIRS`` at most whose common presence goes with the label beyond ``PAIR_Z``
 standard deviations, and further than either's own. Its score is
 
     sigmoid(bias + sum of w[i] + sum over pairs of <v[i], v[j]>)
@@ -39,7 +39,7 @@ SAMPLE_EACH = 6000
 BUCKETS = 1 << 22
 PREFIXES = (4, 5, 6, 7)
 MAX_TERMS, LEAST_Z, LEAST_TEXTS = 4096, 3.5, 3
-PAIR_TERMS, MAX_PAIRS, PAIR_Z, LEAST_PAIRS = 512, 256, 6.0, 10
+PAIR_TERMS, MOST_SHARE, MAX_PAIRS, PAIR_Z, LEAST_PAIRS = 512, 0.6, 256, 6.0, 10
 FACTORS, ROUNDS, RATE, DECAY = 4, 300, 0.05, 2e-4
 
 
@@ -160,7 +160,7 @@ def _learned(sample: DataFrame | None, sizes: dict[int, int]) -> Machine:
     z = F.abs(F.col("pos") - rate * F.col("n")) / F.sqrt(F.col("n") * rate * (1 - rate))
     seen = materialize(seen.where(F.col("n") >= LEAST_TEXTS).withColumn("z", z), "terms")
     best = [r["term"] for r in seen.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()]
-    common = [r["term"] for r in seen.where((F.col("n") >= LEAST_PAIRS) & (F.col("n") <= sum(n.values()) / 2)).orderBy(F.desc("n"), "term").limit(PAIR_TERMS).collect()]
+    common = [r["term"] for r in seen.where((F.col("n") >= LEAST_PAIRS) & (F.col("n") <= MOST_SHARE * sum(n.values()))).orderBy(F.desc("n"), "term").limit(PAIR_TERMS).collect()]
     buckets = np.array(sorted({*best, *common}), np.int64)
     if not len(buckets):
         return Machine(buckets, bias)

@@ -10,7 +10,8 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from keyloom.llm import decontaminate, line_dedup, near_dedup, packing, quality, sharding, suffix_dedup, token_counts
+from keyloom.llm import decontaminate, language, line_dedup, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, toxicity
+from keyloom.llm.common import collected, held_out
 from keyloom.llm.hashing import blocks, shingles, words
 
 from .test_llm import by_hand, edited, removed_by_hand, sentence
@@ -273,3 +274,44 @@ def test_the_index_prunes():
     rng = np.random.Generator(np.random.PCG64(24))
     prints, queries = (rng.integers(0, 1 << 64, (1000, 4), dtype=np.uint64) for _ in range(2))
     assert len(decontaminate.HammingIndex(prints).candidates(queries)) < 0.01 * 1000 * 1000
+
+
+# ---- learned operators
+
+
+def test_pairs_that_tell_nothing_alone(spark):
+    """A text is toxic if it holds both words or neither, so each word by itself says nothing."""
+    rng = random.Random(25)
+    rows = []
+    for i in range(1600):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join(["qqgroup"] * a + [sentence(12, rng)] + ["zzinsult"] * b), int(a == b)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    machine = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    out, name = toxicity.scored(docs, machine)
+    got = {r["doc_id"]: r[name] for r in out.collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    assert sum((got[i] >= 0.5) == y for i, _, y in held) / len(held) > 0.95
+
+
+def test_shared_and_missing_ids_are_learned_once(spark):
+    """A label of an id that a third of all rows share brings one text; null ids bring none."""
+    rows = [(7, f"common {i} words") for i in range(300)] + [(None, "lost " * 5)] * 50 + [(i, "vile " * 3 if i % 2 else sentence(4, RNG)) for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 0), (7, 1), (None, 1)] + [(i, i % 2) for i in range(100, 400)], "doc_id long, toxic int")
+    with collected() as paths:
+        sample, sizes = toxicity._sampled(docs, labels)
+        assert sample.where("doc_id = 7").count() == 1 and sample.where("doc_id IS NULL").count() == 0
+        assert sum(sizes.values()) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (7, *range(100, 400)))
+    assert len(paths) == 1
+    flags = docs.select(held_out(docs["doc_id"]).alias("h"), "doc_id").distinct().collect()
+    assert all(r["h"] == (r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in flags)
+
+
+def test_language_sample_is_bounded_and_made_of_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_PER_LANGUAGE", 40)
+    rows = [(7, "angblo sti " * 3, "xx")] * 900 + [(None, "nobody", "xx")] * 50 + [(i, sentence(6, RNG), "xx") for i in range(300)] + [(1000 + i, "oui elle " + sentence(3, RNG), "yy") for i in range(300)]
+    found, langs = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    n = collections.Counter(langs)
+    assert 15 < n["xx"] < 90 and 15 < n["yy"] < 90 and len(found) == len(langs)
+    assert all(abs(share.sum() - 1) < 1e-4 for _, share in found)

@@ -11,12 +11,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_local: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder that all executors share; a plain local session may go without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="keyloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="keyloom-")
+        _local[spark.sparkContext.applicationId] = folder
     return folder

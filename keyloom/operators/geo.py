@@ -14,23 +14,21 @@ GRID = float(1 << 26)
 RADIUS_M = 6372797.560856
 UNITS = {"m": 1.0, "km": 1000.0, "ft": 0.3048, "mi": 1609.34}
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
-#: Masks of every other 16, 8, 4, 2 and 1 bits.
-MASKS = [0x0000FFFF0000FFFF, 0x00FF00FF00FF00FF, 0x0F0F0F0F0F0F0F0F, 0x3333333333333333, 0x5555555555555555]
+_EVEN = 0x5555555555555555
+
+
+# Base conversions rather than masks: these would repeat the column in every step, and the
+# repetitions multiply where a distance is computed.
 
 
 def _spread(x: Column) -> Column:
-    """The lower 32 bits of ``x`` at even places."""
-    for width, mask in zip((16, 8, 4, 2, 1), MASKS):
-        x = x.bitwiseOR(F.shiftleft(x, width)).bitwiseAND(F.lit(mask))
-    return x
+    """Bits of ``x`` at even places: its binary digits read in base 4."""
+    return F.conv(F.bin(x), 4, 10).cast("long")
 
 
 def _gather(x: Column) -> Column:
     """Bits at even places of ``x``, side by side."""
-    x = x.bitwiseAND(F.lit(MASKS[-1]))
-    for width, mask in zip((1, 2, 4, 8), MASKS[-2::-1]):
-        x = x.bitwiseOR(F.shiftright(x, width)).bitwiseAND(F.lit(mask))
-    return x.bitwiseOR(F.shiftright(x, 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.conv(F.conv(x.bitwiseAND(F.lit(_EVEN)).cast("string"), 10, 4), 2, 10).cast("long")
 
 
 def _cell(x: Column, limit: float) -> Column:

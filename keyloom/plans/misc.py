@@ -278,3 +278,16 @@ def ts_deleterule(s, d):
     made = table(s, d, "events").select(F.col("event_type").alias("source"), F.concat("event_type", F.lit(":avg")).alias("target")).distinct()
     rules = ts.create_rules(made.withColumn("how", F.lit("avg")).withColumn("width", F.lit(3_600_000)))
     return ts.delete_rules(rules, made.where("source = 'click'")).select("source", "target")
+
+
+@query("SELECT event_type AS key, 'c' || ((user_id + CASE WHEN event_id % 15 = 0 THEN 1 ELSE 0 END) % 3) AS consumer, count(*) AS n FROM events WHERE event_id % 5 = 0 GROUP BY ALL")
+def stream_pending(s, d):
+    """Entries that were delivered, and perhaps claimed by the next consumer, but not acknowledged."""
+    folder = os.path.join(scratch(s), f"pending-{uuid.uuid4().hex}")
+    e = streaming.read(s, f"{d}/events.parquet")
+    consumer = lambda shift: F.concat(F.lit("c"), ((F.col("user_id") + shift) % 3).cast("string"))
+    step = lambda op, shift, after: F.struct(F.lit(op).alias("op"), consumer(shift).alias("consumer"), (millis() + after).alias("at"))
+    steps = F.array_compact(F.array(step("deliver", 0, 0), F.when(F.col("event_id") % 15 == 0, step("claim", 1, 1)), F.when(F.col("event_id") % 5 != 0, step("ack", 0, 2))))
+    ops = e.select(F.col("event_type").alias("key"), F.lit("g").alias("grp"), F.col("event_id").alias("entry"), F.inline(steps))
+    streaming.upsert_to(streaming.pending_lists(ops), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return streaming.upserted(s, f"{folder}/out", ["key", "grp", "consumer"]).where("n > 0").select("key", "consumer", "n")

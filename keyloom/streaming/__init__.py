@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -49,6 +53,39 @@ def deliveries(stream: DataFrame, group: str, key: Column, ms: Column, entry: Co
     return stream.select(key.alias("key"), F.lit(group).alias("grp"), ms.alias("ms"), entry.alias("entry"), consumer.alias("consumer"))
 
 
+_PENDING = "key string, grp string, consumer string, n long, oldest long"
+
+
+def pending_lists(ops: DataFrame) -> DataFrame:
+    """The pending lists of consumer groups as state over a stream ``ops(key, grp, op, entry,
+    consumer, at)``, where op is deliver, ack or claim (an entry goes to another consumer, if
+    it is pending). A row (key, grp, consumer, n, oldest) tells how many entries a consumer
+    has after each batch that changed its list, and when the oldest was delivered. The state
+    holds what is pending and nothing else."""
+
+    def step(name: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = json.loads(state.get[0]) if state.exists else {}
+        changed = set()
+        rows = pd.concat(list(parts), ignore_index=True).sort_values(["at", "entry", "op"], key=lambda c: c.map(_TURN) if c.name == "op" else c, kind="stable")
+        for op, entry, consumer, at in zip(rows["op"], rows["entry"].astype(str), rows["consumer"], rows["at"]):
+            before = held.get(entry)
+            if op == "ack" and before:
+                del held[entry]
+            elif op == "deliver" and not before or op == "claim" and before:
+                held[entry] = [consumer, int(at)]
+            changed |= {before[0]} if before else set()
+            changed |= {consumer} if op != "ack" else set()
+        state.update((json.dumps(held),))
+        for c in sorted(changed):
+            times = [t for who, t in held.values() if who == c]
+            yield pd.DataFrame({"key": [name[0]], "grp": [name[1]], "consumer": [c], "n": [len(times)], "oldest": [min(times, default=None)]}).astype({"oldest": "Int64"})
+
+    return ops.groupBy("key", "grp").applyInPandasWithState(step, _PENDING, "held string", "update", "NoTimeout")
+
+
+_TURN = {"deliver": 0, "claim": 1, "ack": 2}
+
+
 def fan_out(stream: DataFrame, exact: DataFrame, patterns: list[tuple[str, str]] = ()) -> DataFrame:
     """Copies of each message of a stream (id, channel) for its subscribers."""
     from ..operators import pubsub

@@ -23,20 +23,23 @@ def _small(e: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one link, and that to a node without any."""
+    n, nodes = edges.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+    return n == nodes and not edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").take(1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v) that is not the least of its
     component; the root is the least. Each pass is written to the shared folder, and the
     number of passes grows with the logarithm of the nodes. A node with very many links is
     a skewed key of two longs a row, which adaptive execution splits."""
-    mark = None
     now = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     with scratch(edges.sparkSession) as keep:
         now = materialize(now, "stars")
-        while True:
+        while not _stars(now):
             then = materialize(_small(_large(now)).distinct(), "stars")
             release(edges.sparkSession, [now.__dict__["scratch_path"]])
-            n, total = then.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-            if (n, total) == mark:
-                keep.append(then)
-                return then.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            now, mark = then, (n, total)
+            now = then
+        keep.append(now)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

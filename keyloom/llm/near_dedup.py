@@ -169,7 +169,12 @@ def _small(df: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose exact similarity is high enough."""
     ends = pairs.select(F.explode(F.array("u", "v")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    hot = _small(materialize(ends.where(F.col("n") > HOT_LINKS).select("h", F.expr(f"n div {HOT_LINKS} + 1").alias("parts")), "hot"))
+    hot = materialize(ends.where(F.col("n") > HOT_LINKS).select("h", F.expr(f"n div {HOT_LINKS} + 1").alias("parts")), "hot")
+    n = hot.count()
+    if not n:  # one part each
+        both = pairs.join(sets.withColumnsRenamed({"k": "u", "s": "sc"}), "u").join(sets.withColumnRenamed("k", "v"), "v")
+        return both.withColumn("x", _similar("sc", "s")).where(F.col("x") >= SIMILARITY).select("u", "v")
+    hot = F.broadcast(hot) if n <= BROADCAST_IDS else hot
     for side in ("u", "v"):
         pairs = pairs.join(hot.select(F.col("h").alias(side), F.col("parts").alias(f"p{side}")), side, "left")
     first = F.coalesce("pu", F.lit(1)) >= F.coalesce("pv", F.lit(1))  # which end has more links

@@ -35,7 +35,7 @@ CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces for each group in which ranks are counted, about.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 1_000
 
 _PIECES = T.ArrayType(T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]))
 

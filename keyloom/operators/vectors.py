@@ -26,6 +26,12 @@ def unit(vec: Column) -> Column:
     return F.when(n > 0, F.transform(vec, lambda x: x / n)).otherwise(F.transform(vec, lambda x: x.cast("double")))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` rounded half away from zero; what becomes zero keeps its sign, as in C."""
+    near = F.round(x, digits)
+    return F.when(near == 0, x * 0.0).otherwise(near)
+
+
 def project(vec: Column, matrix: list[list[float]]) -> Column:
     """Rows of ``matrix`` are input dimensions."""
     columns = F.array(*(F.array(*map(F.lit, c)) for c in zip(*matrix)))

@@ -64,7 +64,7 @@ def vdim(s, d):
 
 @query(W + "SELECT element, list_transform(embedding::DOUBLE[], lambda x: round(x, 4)) AS vec FROM v")
 def vemb(s, d):
-    return vectors(s, d).select("element", F.transform("vec", lambda x: F.round(x.cast("double"), 4)).alias("vec"))
+    return vectors(s, d).select("element", F.transform("vec", lambda x: o.rounded(x.cast("double"), 4)).alias("vec"))
 
 
 @query(W + "SELECT element, true AS found FROM v UNION ALL SELECT 'none' || element, false FROM v")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom import catalog
-from keyloom.operators import hashes, vectors
+from keyloom.operators import hashes, sketches, vectors
 
 DATA = "/root/testdata/sf0.001"
 
@@ -42,8 +42,37 @@ def test_each_write_has_its_reply(spark):
     new = spark.createDataFrame([("k", "b", "x"), ("k", "b", None), ("k", "a", "y"), ("k", "a", "z")], "key string, field string, value string")
     got = hashes.replies(old, new, 10).select("field", "value", "is_new", "written").collect()
     assert sorted(map(tuple, got), key=repr) == [("a", "y", True, True), ("a", "z", True, True), ("b", "x", False, True), ("b", None, False, True), ("c", "3", False, False)]
+    last = hashes.put(old, new.withColumn("seq", F.ascii("value")), 10).select("field", "value").collect()
+    assert sorted(map(tuple, last)) == [("a", "z"), ("b", "x"), ("c", "3")]
 
 
 @pytest.mark.parametrize("name", ["hmset", "hset", "hsetex", "hsetex_keepttl", "hsetnx"])
 def test_hashes_that_two_suppliers_write_to(spark, repeated, name):
     same(spark, repeated, name)
+
+
+@pytest.fixture
+def crowded(monkeypatch):
+    """Cuckoo filters of 15 fingerprints, whose slots are shared."""
+    monkeypatch.setattr(sketches, "PRINT_BITS", 4)
+
+
+def test_cuckoo_answers_where_items_share_a_slot(spark, crowded):
+    rows = [("k", str(i)) for i in range(40) for _ in range(i % 3 + 1)] + [("k", None), ("z", "1")]
+    items = spark.createDataFrame(rows, "key string, item string")
+    asked = spark.createDataFrame([("k", str(i)) for i in range(60)] + [("k", None), ("z", "2"), ("none", "1")], "key string, item string")
+    slots, counts = sketches.cuckoo(items, 4), sketches.multiset(items)
+    rough = sketches.cuckoo_count(slots, asked, 4)
+    want = {(k, i): rows.count((k, i)) for k, i in map(tuple, asked.collect())}
+    assert {(r["key"], r["item"]): r["n"] for r in rough.collect()} != want
+    got = sketches.cuckoo_exact(rough, counts, 4).collect()
+    assert {(r["key"], r["item"]): r["n"] for r in got} == want and len(got) == len(want)
+    assert all(r["found"] == (r["n"] > 0) for r in got)
+
+
+@pytest.mark.parametrize("name", ["cf_add", "cf_addnx", "cf_count", "cf_del", "cf_info", "cf_mexists", "cf_scandump_loadchunk"])
+def test_cuckoo_queries_where_items_share_a_slot(spark, repeated, crowded, monkeypatch, name):
+    from keyloom.plans import sketches as plans
+
+    monkeypatch.setattr(plans, "CF", 4)
+    same(spark, repeated, name)

@@ -76,3 +76,30 @@ def test_cuckoo_queries_where_items_share_a_slot(spark, repeated, crowded, monke
 
     monkeypatch.setattr(plans, "CF", 4)
     same(spark, repeated, name)
+
+
+def test_bloom_filters_grow_with_their_items(spark):
+    items = spark.range(2050).select(F.when(F.col("id") < 2000, "many").otherwise("few").alias("key"), F.col("id").cast("string").alias("item"))
+    absent = spark.range(1000).select(F.explode(F.array(*map(F.lit, ("many", "few", "none")))).alias("key"), F.concat(F.lit("none"), "id").alias("item"))
+    state = sketches.bloom_grown(items, 0.01, 100)
+    assert sketches.bloom_grown_has(state, items, 0.01, 100).where("found").count() == 2050
+    found = {r[0]: r[1] for r in sketches.bloom_grown_has(state, absent, 0.01, 100).groupBy("key").agg(F.count_if("found")).collect()}
+    assert found["many"] <= 40 and found["few"] <= 5 and found["none"] == 0 and len(found) == 3
+    rough = sketches.bloom_has(sketches.bloom(items, 0.01, 100), absent, 0.01, 100)
+    assert rough.where("key = 'many' AND found").count() > 900  # one filter of that size is full
+    info = {r["key"]: r for r in sketches.bloom_grown_info(state, 0.01, 100).collect()}
+    assert info["many"]["parts"] == 20 and info["few"]["parts"] == 1
+
+
+@pytest.fixture
+def overfull(monkeypatch):
+    from keyloom.plans import sketches as plans
+
+    items = plans.items
+    more = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3199)), lambda i: F.concat("item", F.lit("-"), i.cast("string"))))
+    monkeypatch.setattr(plans, "items", lambda s, d: items(s, d).distinct().select("key", "n", more.alias("item")))
+
+
+@pytest.mark.parametrize("name", ["bf_mexists_absent"])
+def test_bloom_queries_beyond_the_capacity(spark, repeated, overfull, name):
+    same(spark, repeated, name)

@@ -100,6 +100,6 @@ def overfull(monkeypatch):
     monkeypatch.setattr(plans, "items", lambda s, d: items(s, d).distinct().select("key", "n", more.alias("item")))
 
 
-@pytest.mark.parametrize("name", ["bf_mexists_absent"])
+@pytest.mark.parametrize("name", ["bf_info", "bf_mexists_absent"])
 def test_bloom_queries_beyond_the_capacity(spark, repeated, overfull, name):
     same(spark, repeated, name)

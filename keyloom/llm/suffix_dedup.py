@@ -6,7 +6,8 @@ bytes alone (see ``anchors``), so only runs of windows whose anchor occurs twice
 Runs of the same bytes, known by a 128-bit cryptographic digest of all of them, repeat each
 of their windows. What is left are the runs at the edges of repeated passages. One of each
 kind is taken with its bytes; the suffixes that start at its windows are sorted, by groups
-of the same anchor at the same distance, in a merge sort that compares two suffixes by
+of the same anchor at the same distance and without those that no other run goes on like
+(by hashes of the bytes on either side of the anchor), in a merge sort that compares two suffixes by
 binary search for their common extension on polynomial prefix hashes. Neighbours with a
 common extension of a window's length are compared byte by byte before they count as equal.
 
@@ -24,6 +25,7 @@ empty table gives no rows. Columns other than key and text are not carried.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 import hashlib
 
 import numpy as np
@@ -33,12 +35,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .anchors import Runs, between, blocks, prefix_sums
+from .anchors import GRAM, Runs, between, blocks, prefix_sums
 from .common import identity, materialize, scratch, table
 from .hashing import mix
 
 LENGTH = 200
 GROUP_RUNS = 2048
+#: Lengths at which the bytes around anchors are compared before windows are sorted.
+LEVELS = 4
 #: Windows that are sorted at once.
 SORT_WINDOWS = 400_000
 
@@ -79,6 +83,12 @@ class Suffixes:
         self.data, self.start, self.length = data, start, length
         self.sums = prefix_sums(data)
 
+    def at(self, chosen: np.ndarray) -> Suffixes:
+        """The suffixes of those numbers."""
+        some = copy(self)
+        some.start = self.start[chosen]
+        return some
+
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes ``a`` and ``b``, at most ``length``."""
         x, y = self.start[a], self.start[b]
@@ -152,19 +162,44 @@ def repeated_windows(contexts: list[bytes], gram: np.ndarray, left: np.ndarray,
     nth = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
     suffixes = Suffixes(np.frombuffer(b"".join(contexts), np.uint8), begin[of] + nth, length)
     _, g = np.unique(gram, return_inverse=True)
-    _, group = np.unique(g[of] * 1024 + (left[of] - nth + 256), return_inverse=True)
-    order = suffixes.merge_sort(group)
+    kept = np.flatnonzero(_extended(suffixes.sums, begin[:-1], sizes, g, left, of, left[of] - nth, length))
+    some = suffixes.at(kept)
+    _, group = np.unique(g[of[kept]] * 1024 + (left[of[kept]] - nth[kept] + 256), return_inverse=True)
+    order = some.merge_sort(group)
     a, b = order[:-1], order[1:]
     near = np.flatnonzero(group[a] == group[b])
-    near = near[suffixes.common(a[near], b[near]) >= length]
-    near = near[suffixes.equal_bytes(a[near], b[near])]
+    near = near[some.common(a[near], b[near]) >= length]
+    near = near[some.equal_bytes(a[near], b[near])]
     hit = np.zeros(len(of), bool)
-    hit[a[near]] = hit[b[near]] = True
+    hit[kept[a[near]]] = hit[kept[b[near]]] = True
     first = np.ones(len(of), bool)
-    first[b[near]] = False
+    first[kept[b[near]]] = False
     return of, nth, hit, first, suffixes
 
 
+def _extended(sums: np.ndarray, begin: np.ndarray, sizes: np.ndarray, g: np.ndarray, left: np.ndarray, of: np.ndarray, ahead: np.ndarray, length: int) -> np.ndarray:
+    """Whether each window (of a context ``of``, ``ahead`` bytes before its anchor) may have
+    an equal one: some other context of its anchor goes on alike for a number of bytes, of
+    ``LEVELS``, on either side that the window covers. What does not is in no equal pair."""
+    around = length - GRAM
+    levels = np.unique([around * k // LEVELS for k in range(1, LEVELS + 1)])
+    levels = levels[levels > 0]
+    anchor = begin + left
+    may = np.ones(len(of), bool)
+    for before in (True, False):
+        room = left if before else sizes - left - GRAM
+        alike = np.ones((len(levels) + 1, len(begin)), bool)
+        for k, n in enumerate(levels.tolist(), 1):
+            has = np.flatnonzero(room >= n)
+            lo = anchor[has] - n if before else anchor[has] + GRAM
+            side = mix(between(sums, lo, lo + n) ^ mix(g[has].astype(np.uint64)))
+            _, kind, count = np.unique(side, return_inverse=True, return_counts=True)
+            alike[k] = False
+            alike[k, has] = count[kind] > 1
+        may &= alike[np.searchsorted(levels, ahead if before else around - ahead, "right"), of]
+    return may
+
+
 _MARKS = "gram long, d long, e long, lo int, hi int, h long, w binary"
 
 

@@ -16,8 +16,9 @@ within a component need no more proof. Components are found by joins.
 Nodes of a bucket that is still in several components then meet without a centre: two
 texts of similarity 0.8 share one of their rarest copies of shingles, a fifth of each text
 (prefix filter; any one order of the copies is exact, rare ones first keeps groups small).
-After a few rounds of centres, what shares one, lies apart and can be similar by lengths
-and places is verified as well, so that no pair that shares a bucket is lost.
+After a few rounds of centres, the text with the fewest rarer copies first, what shares one,
+lies apart and can be similar by lengths and places is verified as well, so that no pair
+that shares a bucket is lost. Copies that the same texts hold count as one there.
 
 A node is a multiset of shingles, whatever ids its rows have; a class is a component, and its
 id is the least doc_id in it (of any type that can be ordered), null if none has one. Texts
@@ -52,7 +53,8 @@ DARTS = int(COORDINATES * (np.log(COORDINATES) + 3))
 
 #: Buckets in which copies of shingles are counted to tell rare ones.
 RARITY = 1 << 16
-#: Rounds in which texts that share a rare copy meet a centre, before those left meet each other.
+#: Rounds in which texts that share a rare copy meet a centre, after the one with the text
+#: edited least, and before those left meet each other.
 STAR_ROUNDS = 2
 
 #: Ids of texts to compare are broadcast up to this number, and joined by shuffle beyond.
@@ -240,6 +242,22 @@ def _rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
     return df.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
 
 
+def _undecided(rows: DataFrame) -> DataFrame:
+    """Rows (k, size, place, unit, root) without those that can be similar to no text of
+    another component by their unit. What two texts have in common, if this copy is the
+    first one, is ``size - place`` of either at most."""
+    left = F.col("size") - F.col("place")
+    span = rows.groupBy("unit").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.min("size").alias("least"), F.max(left).alias("most")).where("a < z").drop("a", "z")
+    return rows.join(span, "unit").where(_possible(F.least(left, "most"), F.col("size") + F.col("least"))).drop("least", "most")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """Rows with one unit for all those that the same texts hold, at the least place; a hash
+    of the texts stands for it, and were two of them equal, more would meet and none less."""
+    held = rows.groupBy("unit").agg(F.xxhash64(F.bit_xor(F.xxhash64("k")), F.bit_xor(F.xxhash64("k", F.lit(1))), F.count(F.lit(1))).alias("group"))
+    return rows.join(held, "unit").groupBy(F.col("group").alias("unit"), "k", "root", "size").agg(F.min("place").alias("place"))
+
+
 def _missed(places: DataFrame, roots: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """``roots`` after the links within buckets that their centres do not show."""
     placed = _rooted(places, roots).select("k", "band", "root")
@@ -247,25 +265,25 @@ def _missed(places: DataFrame, roots: DataFrame, sets: DataFrame, pairs: DataFra
     unsure = materialize(placed.join(mixed, "band").select("k", "root").distinct(), "open")
     own = materialize(sets.join(unsure, "k"), "own")
     rare = materialize(_prefixes(own, _rarity(own)).join(unsure, "k"), "rare")
-    shared = rare.groupBy("unit").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("unit")
-    rare = materialize(rare.join(shared, "unit").drop("root"), "shared")
+    rare = materialize(_undecided(rare).drop("root"), "shared")
     done = pairs.select("u", "v")
-    for n in range(STAR_ROUNDS):  # joins most of what belongs together without pairs
+    for n in range(STAR_ROUNDS + 1):  # joins most of what belongs together without pairs
         now = _rooted(rare, roots)
-        centre = now.groupBy("unit").agg(F.min(F.struct(F.xxhash64("k", "unit", F.lit(n)).alias("h"), "k", "root", "size", "place")).alias("c"))
+        # edited copies of one text are nearer to the one edited least, which has the fewest rarer copies, than to each other
+        order = F.xxhash64("k", "unit", F.lit(n)) if n else F.struct((F.col("place") / F.col("size")).alias("p"), F.xxhash64("k").alias("x"))
+        centre = now.groupBy("unit").agg(F.min(F.struct(order.alias("h"), "k", "root", "size", "place")).alias("c"))
         tried = now.join(centre, "unit").where(F.col("root") != F.col("c.root")).where(_possible(F.least(F.col("size") - F.col("place"), F.col("c.size") - F.col("c.place")), F.col("size") + F.col("c.size")))
         tried = tried.select(F.greatest("k", "c.k").alias("u"), F.least("k", "c.k").alias("v")).distinct()
         tried = materialize(tried.join(done, ["u", "v"], "left_anti"), "tried")
         done = done.union(tried)
         roots = _merged(roots, _verified(tried, sets))
-    now = materialize(_rooted(rare, roots), "rooted")
-    parts = now.groupBy("unit", "root").agg(F.max(F.col("size") - F.col("place")).alias("left"), F.min("size").alias("least"))
-    one, two = (parts.select("unit", *(F.col(c).alias(f"{c}{i}") for c in ("root", "left", "least"))) for i in (1, 2))
-    apart = one.join(two, "unit").where((F.col("root1") < F.col("root2")) & _possible(F.least("left1", "left2"), F.col("least1") + F.col("least2"))).select("unit", "root1", "root2")
-    for i in ("1", "2"):
-        apart = apart.join(now.select("unit", *(F.col(c).alias(f"{c}{i}") for c in ("root", "k", "size", "place"))), ["unit", f"root{i}"])
-    left = F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2"))  # in common at most, if this copy is the first one
-    near = apart.where(_possible(left, F.col("size1") + F.col("size2")))
+    now = materialize(_undecided(_once(_undecided(_rooted(rare, roots)))), "rooted")
+    parts = now.groupBy("unit", "root").agg(F.max(F.col("size") - F.col("place")).alias("left"), F.min("size").alias("size"))
+    one, two = (parts.select("unit", *(F.col(c).alias(f"{c}{i}") for c in ("root", "left", "size"))) for i in (1, 2))
+    near = one.join(two, "unit").where((F.col("root1") < F.col("root2")) & _possible(F.least("left1", "left2"), F.col("size1") + F.col("size2")))
+    for i, j in ("12", "21"):  # each text that can be similar to some of the other component, instead of its component
+        own = now.select("unit", F.col("root").alias(f"root{i}"), F.col("k").alias(f"k{i}"), F.col("size").alias("s"), (F.col("size") - F.col("place")).alias("l"))
+        near = near.drop(f"left{i}", f"size{i}").join(own, ["unit", f"root{i}"]).where(_possible(F.least("l", f"left{j}"), F.col("s") + F.col(f"size{j}"))).withColumnsRenamed({"l": f"left{i}", "s": f"size{i}"})
     tried = near.select(F.greatest("k1", "k2").alias("u"), F.least("k1", "k2").alias("v")).distinct()
     return _merged(roots, _verified(materialize(tried.join(done, ["u", "v"], "left_anti"), "missed"), sets))
 

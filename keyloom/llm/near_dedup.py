@@ -309,7 +309,7 @@ def _linked(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     sets = materialize(once.groupBy("k").agg(F.first("s").alias("s")), "sets")  # rows may be repeated
     best = pairs.groupBy("u").agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("b")).select("u", "b.v")
     best = materialize(best, "best")
-    roots = components(materialize(_verified(best, sets), "sure"))
+    roots = components(_verified(best, sets))
     rest = pairs.join(best, ["u", "v"], "left_anti").select("u", "v")
     for side in ("u", "v"):
         rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
